@@ -11,18 +11,26 @@ from .common import cut, forget
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of longs -> (node, root): the smallest node reachable, for nodes that have an edge.
 
-    Labels go to their neighbours' minimum and then to their label's label, until none changes. Each
-    round is written to the shared folder, so lineage stays short and lost executors cost one round.
-    Hubs are met by partial aggregation and by the skew handling of plain joins. Null ends are ignored.
+    Every node moves to its least neighbour's least neighbour; then the edges are contracted to where
+    their ends have moved, so that each round has at most half the nodes of the one before it and only
+    the edges that still join different nodes. Each round is written to the shared folder, so lineage
+    stays short and lost executors cost one round. Hubs are met by partial aggregation and by the skew
+    handling of plain joins. Null ends are ignored.
     """
-    both = cut(edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "labels")
-    while not labels.where("moved").isEmpty():
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("jump"))
-        new = cut(step.join(jump, "mid").select("node", F.least("mid", "jump").alias("root"), (F.least("mid", "jump") < F.col("was")).alias("moved")), "labels")
-        forget(labels)
-        labels = new
-    forget(both)
-    return labels.select("node", "root")
+
+    def tidy(df: DataFrame) -> DataFrame:
+        return cut(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    live = tidy(edges)
+    labels = cut(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "labels")
+    while not live.isEmpty():
+        ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e"))
+        near = cut(ends.groupBy("e.node").agg(F.min("e.to").alias("to")).select("node", F.least("node", "to").alias("up")), "near")
+        step = cut(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("to")), "up").select("node", "to"), "step")
+        at = lambda name: step.select(F.col("node").alias(name), F.col("to").alias(f"{name}_to"))  # noqa: E731, B023
+        moved = tidy(live.join(at("a"), "a").join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
+        new = cut(labels.join(at("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")), "labels")
+        for old in (live, labels, near, step):
+            forget(old)
+        live, labels = moved, new
+    return labels
