@@ -1,9 +1,333 @@
-"""The registered queries of the feature lake, and their SQL."""
+"""The registered queries of the feature lake, and their SQL.
 
+Each makes a lake in the shared folder, runs a small program of uploads on whole tables, and returns
+what the lake reads.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import datetime as dt
+import time
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import schemas as S
+from .lake import FeatureLake
+from .operators.asof import as_of_join
+from .plans.catalog import FeatureMetadata
+from .sources.shared import scratch
+
+LOW, HIGH = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 20)
+_EVENTS = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType())])
+_KINDS = {"click": "click", "view": "view", "purchase": "purchase"}
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type", "value")
+
+
+def _lake(spark: SparkSession, schema: T.StructType = _EVENTS, primary: str = "ts", **kw) -> FeatureLake:
+    return FeatureLake(spark, scratch(spark, "lake"), primary_sort_key=primary, **kw).initialize(schema)
+
+
+def _of(events: DataFrame, kind: str, name: str) -> DataFrame:
+    return events.where(F.col("event_type") == kind).select("ts", "user_id", F.col("value").alias(name))
+
+
+def _dense(spark, sf_dir, **kw) -> tuple[FeatureLake, DataFrame]:
+    lake, e = _lake(spark, **kw), _events(spark, sf_dir)
+    lake.add_features(e.select("ts", "user_id", "value"), owner="a")
+    return lake, e
+
+
+def _window(e: DataFrame) -> DataFrame:
+    return e.where(F.col("ts").between(F.lit(LOW).cast("timestamp_ntz"), F.lit(HIGH).cast("timestamp_ntz")))
+
+
+def q01_index_scan(spark, sf_dir):
+    return _dense(spark, sf_dir)[0].index_frame()
+
+
+def q02_dense_read(spark, sf_dir):
+    return _dense(spark, sf_dir)[0].read(["value"])
+
+
+def q03_dense_range(spark, sf_dir):
+    return _dense(spark, sf_dir)[0].read(["value"], start=LOW, end=HIGH)
+
+
+def q04_lazy_filter(spark, sf_dir):
+    return _dense(spark, sf_dir)[0].read(["value"], materialized=False).where("user_id = 3")
+
+
+def _two(spark, sf_dir, **kw) -> FeatureLake:
+    lake, e = _lake(spark, **kw), _events(spark, sf_dir)
+    lake.add_features(_of(e, "click", "click_value"), owner="a")
+    lake.add_features(_of(e, "view", "view_value"), owner="b")
+    return lake
+
+
+def q05_two_groups(spark, sf_dir):
+    return _two(spark, sf_dir).read(["click_value", "view_value"])
+
+
+def _as_of(spark, sf_dir, params, **bounds):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_as_of_features(_of(e, "purchase", "bought"), params)
+    return lake.read(["bought"], **bounds)
+
+
+def q06_asof_backward(spark, sf_dir):
+    return _as_of(spark, sf_dir, {})
+
+
+def q07_asof_forward(spark, sf_dir):
+    return _as_of(spark, sf_dir, {"strategy": "forward"})
+
+
+def q08_asof_nearest(spark, sf_dir):
+    return _as_of(spark, sf_dir, {"strategy": "nearest"})
+
+
+def q09_asof_tolerance(spark, sf_dir):
+    return _as_of(spark, sf_dir, {"tolerance": "1d"})
+
+
+def q09b_asof_range(spark, sf_dir):
+    return _as_of(spark, sf_dir, {"strategy": "backward"}, start=LOW, end=HIGH)
+
+
+def q09c_asof_strict(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return as_of_join(e.select("ts", "user_id"), _of(e, "purchase", "bought"), "ts", ["user_id"], ["bought"], allow_exact_matches=False)
+
+
+def _overlap(spark, sf_dir, mode):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_features(_window(e).select("ts", "user_id", (F.col("value") * 2).alias("value")), overlap_mode=mode)
+    return lake
+
+
+def q10_merge_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "merge").read(["value"])
+
+
+def q11_copy_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "copy").read(["value"])
+
+
+def q12_version_pin(spark, sf_dir):
+    lake = _overlap(spark, sf_dir, "copy")
+    return lake.read(FeatureMetadata(["value"], [0]).get_metadata_frame(lake))
+
+
+def q13_all_new_append(spark, sf_dir):
+    lake, e = _lake(spark), _events(spark, sf_dir).select("ts", "user_id", "value")
+    lake.add_features(e.where("user_id % 2 = 0"))
+    lake.add_features(e.where("user_id % 2 = 1"))
+    return lake.read(["value"])
+
+
+def q14_partial_overlap_null(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_features(_window(e).where("user_id % 2 = 0").select("ts", "user_id", (F.col("value") + 1).alias("value")), overlap_mode="merge")
+    return lake.read(["value"])
+
+
+def q15_dedupe(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lake = _lake(spark, T.StructType([T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_custkey", T.LongType())]), "o_orderdate")
+    lake.add_features(o.select("o_orderdate", "o_custkey", (F.col("o_custkey") % 7).alias("bucket")))
+    return lake.read(["bucket"])
+
+
+def q15b_sparse_read(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_sparse_features(_of(e, "purchase", "bought"))
+    return lake.read(["value", "bought"])
+
+
+def q15c_sparse_overlap(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_sparse_features(_of(e, "purchase", "bought"))
+    lake.add_sparse_features(_window(_of(e, "purchase", "bought")).where("user_id % 2 = 0"), overlap_mode="merge")
+    return lake.read(["bought"])
+
+
+def q15d_asof_upsert(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_as_of_features(_of(e, "purchase", "bought"), {})
+    lake.add_as_of_features(_window(_of(e, "purchase", "bought")).where("user_id % 2 = 0").withColumn("bought", -F.col("bought")), {}, overlap_mode="merge")
+    return lake.read(["bought"])
+
+
+def q16_targets(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_targets(e.select("ts", "user_id", F.when(F.col("value") > 50, 1).otherwise(0).alias("label")))
+    return lake.read(["value"], targets=["label"])
+
+
+def _runtime(spark, sf_dir, exprs, name):
+    lake, _ = _dense(spark, sf_dir, enable_runtime_computed_features=True)
+    lake.add_runtime_computed_features(exprs)
+    return lake.read(name)
+
+
+def q17_runtime_chain(spark, sf_dir):
+    return _runtime(spark, sf_dir, {"a": "value * 2", "b": "a + 1"}, ["b"])
+
+
+def q18_runtime_lag(spark, sf_dir):
+    return _runtime(spark, sf_dir, {"before": "lag(value) OVER (PARTITION BY user_id ORDER BY ts)"}, ["before"])
+
+
+def q19_transforms(spark, sf_dir):
+    lake, e = _lake(spark, enable_runtime_computed_features=True), _events(spark, sf_dir)
+    lake.add_features(e.select("ts", "user_id", F.expr("CASE WHEN user_id % 5 = 0 THEN NULL ELSE round(value) - 50 END").alias("x")))
+    from .functions.transforms import TRANSFORMS
+
+    lake.add_runtime_transforms(["x"], list(TRANSFORMS))
+    out = lake.read([f"x__{t}" for t in TRANSFORMS])
+    return out.withColumns({"x__reciprocal": F.round("x__reciprocal", 9), "x__signed_log1p": F.round("x__signed_log1p", 9)})
+
+
+def q20_consolidate(spark, sf_dir):
+    lake = _two(spark, sf_dir)
+    lake.consolidate_feature_groups(["click_value", "view_value"])
+    return lake.read(["click_value", "view_value"])
+
+
+def q21_cross_lake_merge(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    a, b = _lake(spark), _lake(spark)
+    a.add_features(_of(e, "click", "v"))
+    b.add_features(e.where("event_type in ('click', 'view') and user_id % 2 = 0").select("ts", "user_id", (-F.col("value")).alias("v")))
+    return FeatureLake.merge(a, b, ["v"], ["v"])
+
+
+def q22_index_only(spark, sf_dir):
+    lake, e = _lake(spark), _events(spark, sf_dir)
+    lake.add_features(_of(e, "click", "click_value"))
+    lake.add_index_rows(e.where("event_type = 'purchase'").select("ts", "user_id"))
+    return lake.read(["click_value"])
+
+
+def q23_latest_metadata(spark, sf_dir):
+    m = _overlap(spark, sf_dir, "copy").feature_metadata_frame()
+    return m.groupBy("feature_name").agg(F.max_by(F.struct("version", "owner", "signal_type"), "version").alias("m")).select("feature_name", "m.version", "m.owner", "m.signal_type")
+
+
+def q24_txn_status(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    lake.add_features(_of(e, "click", "click_value"))
+    kept, lake._extend_index = lake._extend_index, None
+    try:
+        lake.add_features(_of(e, "view", "view_value"))
+    except TypeError:
+        lake._extend_index = kept
+    last = lake.transaction_log_frame().groupBy("transaction_id").agg(F.max_by("status", "updated_at").alias("status"))
+    return last.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def q25_restore(spark, sf_dir):
+    lake, e = _dense(spark, sf_dir)
+    good = dt.datetime.now(dt.UTC)
+    time.sleep(0.01)
+    lake.add_features(_window(e).select("ts", "user_id", F.lit(-1.0).alias("value")), overlap_mode="merge")
+    lake.restore_to_timestamp(good)
+    return lake.read(["value"])
+
+
+def q26_owner_read(spark, sf_dir):
+    lake = _two(spark, sf_dir)
+    return lake.read(lake.feature_metadata_frame().where("owner = 'b'"))
+
+
+def q27_describe(spark, sf_dir):
+    lake = _two(spark, sf_dir)
+    m = lake.feature_metadata_frame()
+    notes = m.where("feature_name = 'click_value'").select("*", F.lit("clicks").alias("comment"), F.array(F.lit("web"), F.lit("raw")).alias("tags"))
+    lake.annotate(spark.createDataFrame(notes.collect(), S.ANNOTATIONS))
+    return lake.describe(m).select("feature_name", "comment", F.array_join("tags", ",").alias("tags"))
+
+
+def q28_sibling_preserved(spark, sf_dir):
+    lake, e = _lake(spark), _events(spark, sf_dir)
+    lake.add_features(e.select("ts", "user_id", "value", (-F.col("value")).alias("other")))
+    lake.add_features(_window(e).select("ts", "user_id", (F.col("value") * 3).alias("value")), overlap_mode="merge")
+    return lake.read(["value", "other"])
+
+
+def q29_integer_key(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    l_ = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lake = _lake(spark, T.StructType([T.StructField("doc_id", T.LongType())]), "doc_id")
+    lake.add_features(d.select("doc_id", "lang", "n_chars"))
+    lake.add_sparse_features(l_.select("doc_id", "quality"))
+    return lake.read(["lang", "n_chars", "quality"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
+
+
+_IN = "ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-20'"
+_BOUGHT = "(SELECT ts, user_id, value AS bought FROM events WHERE event_type = 'purchase')"
+_ASOF = f"SELECT i.ts, i.user_id, r.bought FROM events i ASOF LEFT JOIN {_BOUGHT} r ON i.user_id = r.user_id AND i.ts >= r.ts"
+_TWO = """SELECT ts, user_id, CASE WHEN event_type = 'click' THEN value END AS click_value, CASE WHEN event_type = 'view' THEN value END AS view_value FROM events WHERE event_type IN ('click', 'view')"""
+
+
+def oracle_sql() -> dict[str, str]:
+    value = "SELECT ts, user_id, value FROM events"
+    doubled = f"SELECT ts, user_id, CASE WHEN {_IN} THEN value * 2 ELSE value END AS value FROM events"
+    x = "(SELECT ts, user_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE round(value) - 50 END AS x FROM events)"
+    return {
+        "q01_index_scan": "SELECT ts, user_id FROM events",
+        "q02_dense_read": value,
+        "q03_dense_range": f"{value} WHERE {_IN}",
+        "q04_lazy_filter": f"{value} WHERE user_id = 3",
+        "q05_two_groups": _TWO,
+        "q06_asof_backward": _ASOF,
+        "q07_asof_forward": _ASOF.replace(">=", "<="),
+        "q08_asof_nearest": f"""
+            SELECT i.ts, i.user_id, CASE WHEN b.ts IS NULL OR f.ts - i.ts <= i.ts - b.ts THEN coalesce(f.bought, b.bought) ELSE b.bought END AS bought
+            FROM events i ASOF LEFT JOIN {_BOUGHT} b ON i.user_id = b.user_id AND i.ts >= b.ts ASOF LEFT JOIN {_BOUGHT} f ON i.user_id = f.user_id AND i.ts <= f.ts""",
+        "q09_asof_tolerance": _ASOF.replace("r.bought FROM", "CASE WHEN i.ts - r.ts <= INTERVAL 1 DAY THEN r.bought END AS bought FROM"),
+        "q09b_asof_range": f"{_ASOF} WHERE i.{_IN}",
+        "q09c_asof_strict": _ASOF.replace(">=", ">"),
+        "q10_merge_overlap": doubled,
+        "q11_copy_overlap": doubled,
+        "q12_version_pin": value,
+        "q13_all_new_append": value,
+        "q14_partial_overlap_null": f"""
+            WITH d AS (SELECT ts, user_id, value + 1 AS v FROM events WHERE {_IN} AND user_id % 2 = 0), b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM d)
+            SELECT e.ts, e.user_id, CASE WHEN e.ts BETWEEN lo AND hi THEN d.v ELSE e.value END AS value FROM events e CROSS JOIN b LEFT JOIN d ON e.ts = d.ts AND e.user_id = d.user_id""",
+        "q15_dedupe": "SELECT DISTINCT o_orderdate, o_custkey, o_custkey % 7 AS bucket FROM orders",
+        "q15b_sparse_read": "SELECT ts, user_id, value, CASE WHEN event_type = 'purchase' THEN value END AS bought FROM events",
+        "q15c_sparse_overlap": f"""
+            WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), d AS (SELECT * FROM p WHERE {_IN} AND user_id % 2 = 0), b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM d)
+            SELECT ts, user_id, CASE WHEN event_type = 'purchase' AND (ts NOT BETWEEN lo AND hi OR user_id % 2 = 0) THEN value END AS bought FROM events CROSS JOIN b""",
+        "q15d_asof_upsert": _ASOF.replace("value AS bought", f"CASE WHEN {_IN} AND user_id % 2 = 0 THEN -value ELSE value END AS bought"),
+        "q16_targets": "SELECT ts, user_id, value, CASE WHEN value > 50 THEN 1 ELSE 0 END AS label FROM events",
+        "q17_runtime_chain": "SELECT ts, user_id, value, value * 2 AS a, value * 2 + 1 AS b FROM events",
+        "q18_runtime_lag": "SELECT ts, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events",
+        "q19_transforms": f"""
+            SELECT ts, user_id, x, abs(x) AS x__abs, x IS NULL AS x__missing, isnan(x) AS x__nan, CASE WHEN x IS NOT NULL THEN greatest(0 - x, 0) END AS x__negative, x <> 0 AS x__nonzero,
+              CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS x__positive, round(CASE WHEN x <> 0 THEN 1 / x END, 9) AS x__reciprocal, CAST(sign(x) AS DOUBLE) AS x__sign,
+              round(sign(x) * ln(1 + abs(x)), 9) AS x__signed_log1p, pow(x, 2) AS x__squared FROM {x}""",
+        "q20_consolidate": _TWO,
+        "q21_cross_lake_merge": """
+            SELECT ts, user_id, l.v, r.v AS v_right FROM (SELECT ts, user_id, value AS v FROM events WHERE event_type = 'click') l
+            FULL JOIN (SELECT ts, user_id, -value AS v FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0) r USING (ts, user_id)""",
+        "q22_index_only": "SELECT ts, user_id, CASE WHEN event_type = 'click' THEN value END AS click_value FROM events WHERE event_type IN ('click', 'purchase')",
+        "q23_latest_metadata": "SELECT 'value' AS feature_name, CAST(1 AS BIGINT) AS version, 'missing_owner' AS owner, 'feature' AS signal_type",
+        "q24_txn_status": "SELECT * FROM (VALUES ('success', CAST(2 AS BIGINT)), ('rolled_back', CAST(1 AS BIGINT))) AS t(status, n)",
+        "q25_restore": value,
+        "q26_owner_read": "SELECT ts, user_id, CASE WHEN event_type = 'view' THEN value END AS view_value FROM events WHERE event_type IN ('click', 'view')",
+        "q27_describe": "SELECT * FROM (VALUES ('click_value', 'clicks', 'web,raw'), ('view_value', NULL, '')) AS t(feature_name, comment, tags)",
+        "q28_sibling_preserved": f"SELECT ts, user_id, CASE WHEN {_IN} THEN value * 3 ELSE value END AS value, -value AS other FROM events",
+        "q29_integer_key": "SELECT d.doc_id, d.lang, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)",
+    }

@@ -1 +1,3 @@
+from .table_io import CODECS, ParquetTableIO, TableIO
 
+__all__ = ["CODECS", "ParquetTableIO", "TableIO"]
