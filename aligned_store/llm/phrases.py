@@ -59,12 +59,12 @@ def _level(names: np.ndarray, begin: np.ndarray, level: int) -> tuple[np.ndarray
     differ = names ^ before
     bit = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) & np.uint8(63)
     label = ((bit & np.uint8(31)) << np.uint8(1)) | ((names >> bit.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    label[head] = 0  # what stands before a text has no part in it
     for _ in range(2):
-        label[head] &= np.uint8(1)
         pair = label.astype(np.uint16)
         pair[1:] |= label[:-1].astype(np.uint16) << np.uint16(6)
         label = _TOSS[pair]
-    label[head] = 0
+        label[head] = 0
     cut = head.copy()
     if n > 2:
         # a local maximum; the last symbol of a text can't be one, as its right neighbour is not known
