@@ -29,7 +29,16 @@ CAPACITY, SEPARATOR = 1024, 2
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of the pieces of a sequence, number of such sequences) that use up ``counts``."""
+    """(lengths of the pieces of a sequence, number of such sequences) that use up ``counts``.
+
+    Small pieces spent on exact triples may be missed later where pieces are few, so the plans with
+    complements of up to one, two and three pieces are compared; the fewest sequences win.
+    """
+    plans = [_plan(counts, capacity, depth) for depth in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in counts.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
     if c := left.pop(capacity, 0):
@@ -48,7 +57,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     pairs: dict[int, list[tuple[int, int]]] = {}  # sum -> pairs, the more even first
     lengths = sorted(left)
-    for i, a in enumerate(lengths):
+    for i, a in enumerate(lengths if depth > 1 else ()):
         for b in lengths[i:]:
             if a + b < capacity:
                 pairs.setdefault(a + b, []).append((b, a))
@@ -61,7 +70,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 take((n, b, a))
                 if n not in left:
                     break
-        if n in left:  # triples: a single and the pair that completes it
+        if n in left and depth > 2:  # triples: a single and the pair that completes it
             for c in sorted((x for x in left if x < gap), reverse=True):
                 for b, a in pairs.get(gap - c, ()) if n in left and c in left else ():
                     if b <= c and a in left and b in left:
