@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,34 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import scratch, shared_dir
+
+__all__ = ["scratch", "shared_dir"]
+
 #: A side of a join is broadcast only when a count has shown it to be at most this many narrow rows.
 BROADCAST_ROWS = 500_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a folder of our own is made, but only in local mode, where driver and
-    executors are one process; on a cluster the setting is required.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="aligned-store-")
-    return own
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
@@ -77,7 +57,11 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function made once per task."""
+    """``mapInArrow`` with a function made once per task.
+
+    Batches are kept small, so that a worker's memory doesn't follow the default of 10,000 rows, however long.
+    """
+    lean_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -90,7 +74,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def bounded(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def lean_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lower the session's Arrow batch size to ``rows``, if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def bounded(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes each, one row at least, so that work arrays stay small."""
     n = batch.num_rows
     step = max(1, int(n * most / max(batch.nbytes, 1)))

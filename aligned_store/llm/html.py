@@ -109,7 +109,7 @@ def _word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     space = (raw == 32) | (raw == 10)
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     first, last = edge[::2], edge[1::2]
-    up, down = powers(max(1 << 21, len(raw)))
+    up, down = powers(max(1 << 20, len(raw)))
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
         name = (total[last] - total[first]) * down[first]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, lean_batches
 
 CLASSES, EMPTY, LEVELS = 64, 0xFF, (2, 3, 4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -189,6 +189,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if chunk:
             yield done()
 
+    lean_batches(spark)
     return dealt.mapInArrow(run, schema)
 
 

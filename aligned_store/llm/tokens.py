@@ -38,7 +38,7 @@ _CUT = re.compile(rf"(?<=\S) (?=[{_LETTERS}])")
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
 _CLASS[48:58], _CLASS[[10, 32]], _CLASS[[39, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = 2, 3, 9
-_PIECE, _KEPT, _LONGEST = 1 << 21, 200_000, 64
+_PIECE, _KEPT, _LONGEST = 1 << 20, 120_000, 64
 
 
 class _Table(dict):
