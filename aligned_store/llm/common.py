@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -60,20 +62,55 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """``mapInArrow`` with a function made once per task.
 
     Batches are kept small, so that a worker's memory doesn't follow the default of 10,000 rows, however long.
+    Workers go from task to task, so at its end each gives back what its task has freed.
     """
     lean_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            for part in bounded(batch):
-                out = step(part)
-                if out is not None and out.num_rows:
-                    yield out
+        step = begin_task(make)
+        try:
+            for batch in batches:
+                for part in bounded(batch):
+                    out = step(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            del step
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: What this worker holds for its next task, and which of it the present task has asked for.
+_HELD: dict[str, object] = {}
+_ASKED: set[str] = set()
+
+
+def held(key: str, make: Callable[[], object]):
+    """The object of that key, made once in a worker and let go when a task begins that doesn't ask for it."""
+    _ASKED.add(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def begin_task(make: Callable[[], Callable]) -> Callable:
+    _ASKED.clear()
+    step = make()
+    for key in set(_HELD) - _ASKED:
+        del _HELD[key]
+    return step
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean_batches(spark: SparkSession, rows: int = 500) -> None:
     """Lower the session's Arrow batch size to ``rows``, if it is larger."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

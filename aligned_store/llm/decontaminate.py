@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,17 +158,20 @@ def shards(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterato
     yield part
 
 
-def match_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, dict[str, str]]:
-    """Documents with n_words, spans (hit words, as [begin, end) pairs in one list) and items; and the names these columns got."""
+def match_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, finish: Callable | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with n_words, spans (hit words, as [begin, end) pairs in one list) and items; and the names these columns got.
+
+    ``finish`` (batch, names) turns the last pass's batches into rows like ``docs`` in the same Python worker.
+    """
     names = {n: fresh(docs.columns, n) for n in ("n_words", "spans", "items")}
     parts = shards(items, item_col, item_text_col, shard_words)
-    out = _pass(docs, next(parts), text_col, window, names, first=True)
-    for part in parts:
-        out = _pass(cut(out, "decontaminate"), part, text_col, window, names, first=False)
-    return out, names
+    part, out, first = next(parts), docs, True
+    for later in parts:
+        out, part, first = cut(_pass(out, part, text_col, window, names, first), "decontaminate"), later, False
+    return _pass(out, part, text_col, window, names, first, finish, docs.schema if finish else None), names
 
 
-def _pass(docs: DataFrame, part: list[tuple[str, bytes]], text_col: str, window: int, names: dict[str, str], first: bool) -> DataFrame:
+def _pass(docs: DataFrame, part: list[tuple[str, bytes]], text_col: str, window: int, names: dict[str, str], first: bool, finish: Callable | None = None, finished: T.StructType | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(part)
     added = [T.StructField(names["n_words"], T.LongType()), T.StructField(names["spans"], T.ArrayType(T.IntegerType())), T.StructField(names["items"], T.ArrayType(T.StringType()))]
     schema = T.StructType(docs.schema.fields + added if first else docs.schema.fields)
@@ -190,11 +193,12 @@ def _pass(docs: DataFrame, part: list[tuple[str, bytes]], text_col: str, window:
                 found.append(sorted(i))
             arrays = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
             keys = [names[k] for k in ("n_words", "spans", "items")]
-            return with_columns(batch, keys, arrays) if first else with_columns(batch, [], [], dict(zip(keys, arrays, strict=True)))
+            out = with_columns(batch, keys, arrays) if first else with_columns(batch, [], [], dict(zip(keys, arrays, strict=True)))
+            return finish(out, names) if finish else out
 
         return step
 
-    return map_batches(docs, make, schema)
+    return map_batches(docs, make, finished or schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **kw) -> DataFrame:
@@ -211,31 +215,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min
 
     Spans of short items, which are whole items, go too. The columns stay those of ``docs``.
     """
-    found, names = match_documents(docs, items, text_col, **kw)
     window, own = kw.get("window", WINDOW), docs.columns
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = {k: batch.schema.get_field_index(v) for k, v in (names | {"text": text_col}).items()}
-            spans, n = batch.column(at["spans"]).to_pylist(), batch.column(at["n_words"]).to_pylist()
-            column = batch.column(at["text"])
-            texts, keep = None, []
-            for k, s in enumerate(spans):
-                pairs = list(zip(s[::2], s[1::2], strict=True))
-                hit = sum(b - a for a, b in pairs)
-                keep.append(not n[k] or hit < max_coverage * n[k])
-                # a match shorter than the window is a whole short item
-                gone = [(a, b) for a, b in pairs if b - a >= min(min_span, window) or b - a < window]
-                if gone and keep[-1]:
-                    texts = texts or column.to_pylist()
-                    texts[k] = strip(texts[k], gone)
-            kept = pa.array(keep)
-            cols = [pa.array(texts, pa.string()) if texts and i == at["text"] else batch.column(i) for i in range(len(own))]
-            return pa.RecordBatch.from_arrays(cols, names=own).filter(kept)
-
-        return step
-
-    return map_batches(found, make, docs.schema)
+    def finish(batch: pa.RecordBatch, names: dict[str, str]) -> pa.RecordBatch:
+        at = {k: batch.schema.get_field_index(v) for k, v in (names | {"text": text_col}).items()}
+        spans, n = batch.column(at["spans"]).to_pylist(), batch.column(at["n_words"]).to_pylist()
+        column = batch.column(at["text"])
+        texts, keep = None, []
+        for k, s in enumerate(spans):
+            pairs = list(zip(s[::2], s[1::2], strict=True))
+            hit = sum(b - a for a, b in pairs)
+            keep.append(not n[k] or hit < max_coverage * n[k])
+            # a match shorter than the window is a whole short item
+            gone = [(a, b) for a, b in pairs if b - a >= min(min_span, window) or b - a < window]
+            if gone and keep[-1]:
+                texts = texts or column.to_pylist()
+                texts[k] = strip(texts[k], gone)
+        cols = [pa.array(texts, pa.string()) if texts and i == at["text"] else batch.column(i) for i in range(len(own))]
+        return pa.RecordBatch.from_arrays(cols, names=own).filter(pa.array(keep))
+
+    return match_documents(docs, items, text_col, finish=finish, **kw)[0]
 
 
 def strip(text: str, spans: list[tuple[int, int]]) -> str:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0x100000001B3
 _GAP = 4

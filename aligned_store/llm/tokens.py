@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, scratch
+from .common import cut, held, map_batches, scratch
 from .hashing import powers
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -38,7 +38,7 @@ _CUT = re.compile(rf"(?<=\S) (?=[{_LETTERS}])")
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
 _CLASS[48:58], _CLASS[[10, 32]], _CLASS[[39, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = 2, 3, 9
-_PIECE, _KEPT, _LONGEST = 1 << 20, 120_000, 64
+_PIECE, _KEPT, _LONGEST = 1 << 19, 60_000, 64
 
 
 class _Table(dict):
@@ -195,11 +195,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder for a file, one in each process."""
-    kept = encoder.__dict__.setdefault("kept", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    """The encoder for a file, one in each process as long as its tasks ask for it."""
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def version(path: str) -> str:
