@@ -19,6 +19,7 @@ from .operators.deltas import Deltas, index_deltas, preprocess, replaced, upsert
 from .operators.reading import align, between
 from .plans.catalog import by_table, last_updated, latest_per_feature
 from .plans.transactions import transaction
+from .sources.shared import local_frame
 from .sources.table_io import ParquetTableIO, TableIO, codec
 
 FrameModifier = Callable[[DataFrame], DataFrame]
@@ -255,7 +256,7 @@ class FeatureLake(BaseFeatureLake):
         kind = S.table_metadata(self.index_schema[self.primary].dataType)
         for target, rows, schema in ((self.table_metadata, [(*t, now) for t in tables], kind), (self.feature_metadata, features, S.FEATURE_METADATA)):
             if rows:
-                self.io.write(self.spark.createDataFrame(rows, schema).coalesce(1), touched(target))
+                self.io.write(local_frame(self.spark, rows, schema), touched(target))
 
     def consolidate_feature_groups(self, features: list[str]) -> str | None:
         """Bring dense features of several tables into one; its address, or None if they are in one already."""
@@ -366,7 +367,11 @@ class FeatureLake(BaseFeatureLake):
             def scan(low, high, addr=addr):
                 return between(self.io.scan(addr, ranges={self.primary: (low, high)}), self.primary, low, high)
 
-            df = align(df, scan, signal_type, params, [r.feature_name for r in own], self.keys, self.primary, start, end)
+            def count(low, high, addr=addr):
+                known = [self.io.rows(addr, {self.primary: (low, high)}), self.io.rows(self.index, {self.primary: (start, end)})]
+                return None if None in known else sum(known)
+
+            df = align(df, scan, signal_type, params, [r.feature_name for r in own], self.keys, self.primary, start, end, count)
         return df
 
     @staticmethod
@@ -410,7 +415,7 @@ class FeatureLake(BaseFeatureLake):
         notes = {a: self.io.describe(a, [r.feature_name for r in rows if r.table_addr == a]) for a in {r.table_addr for r in rows} if self.io.exists(a)}
         none = {"comment": None, "tags": []}
         full = [(*[r[f] for f in S.FEATURE_METADATA.fieldNames()], n["comment"], n["tags"]) for r in rows for n in [notes.get(r.table_addr, {}).get(r.feature_name, none)]]
-        return self.spark.createDataFrame(full, S.ANNOTATIONS)
+        return local_frame(self.spark, full, S.ANNOTATIONS)
 
     def restore_to_timestamp(self, timestamp: dt.datetime) -> None:
         """Bring index, metadata and the tables that the metadata then names back to a time; the log is kept."""

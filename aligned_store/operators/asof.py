@@ -1,6 +1,8 @@
 """As-of join: for each left row the nearest right row of its group, as one union and windows over it.
 
-No range or cross join: both sides are shuffled once by ``by`` and sorted by ``p``.
+No range join: both sides are shuffled once by ``by`` and sorted by ``p``, and each window is a running one,
+so a group takes time n log n. Groups of more than ``hot_rows`` rows are split into blocks of ``p``, as
+many tasks; what a block needs of the blocks before and after it comes from one row for each block.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STRATEGIES = ("backward", "forward", "nearest")
+#: Groups of more rows than this, of both sides together, are split.
+HOT_ROWS = 2_000_000
 _UNITS = {"ns": 1e-3, "us": 1, "ms": 10**3, "s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86400 * 10**6, "w": 7 * 86400 * 10**6}
 
 
@@ -34,11 +38,12 @@ def distance(a: Column, b: Column, kind: T.DataType) -> Column:
     return a - b
 
 
-def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values: list[str], strategy: str = "backward", tolerance=None, allow_exact_matches: bool = True) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values: list[str], strategy: str = "backward", tolerance=None, allow_exact_matches: bool = True, rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` with ``values`` of the matched right row: the row is picked, so a null in it stays null.
 
-    Of rows equally near, nearest takes the later one. A tolerance is inclusive. Without ``by`` all rows
-    are one group, in one task.
+    Of rows equally near, nearest takes the later one. A tolerance is inclusive. Null group keys are a
+    group. ``rows``, if known, is a bound on the rows of both sides; where it rules out groups to split,
+    none are looked for.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is none of {', '.join(STRATEGIES)}")
@@ -51,20 +56,55 @@ def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values:
     a = left.select(*by, p, whole.alias("_own"), F.lit(None).cast(shape).alias("_right"), F.lit(True).alias("_left"))
     b = right.select(*by, p, F.lit(None).cast(kept).alias("_own"), F.struct(F.col(p).alias("_p"), *[F.col(f"`{v}`") for v in values]).cast(shape).alias("_right"), F.lit(False).alias("_left"))
     both = a.unionByName(b)
+    split = (rows is None or rows > hot_rows) and isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    if split:
+        both = blocks(both, p, by, kind, hot_rows)
 
-    def window(right_first: bool):
-        return Window.partitionBy(*by).orderBy(p, F.col("_left").asc() if right_first else F.col("_left").desc())
+    def near(ahead: bool) -> Column:
+        # forward is backward in descending order: a frame to the end of a group would be read anew for each row
+        along = F.col(p).desc() if ahead else F.col(p).asc()
+        ties = F.col("_left").asc() if allow_exact_matches else F.col("_left").desc()
+        w = Window.partitionBy(*by, *(["_block"] if split else [])).orderBy(along, ties).rowsBetween(Window.unboundedPreceding, 0)
+        hit = F.last("_right", ignorenulls=True).over(w)
+        return F.coalesce(hit, F.col("_after" if ahead else "_before")) if split else hit
 
-    before = F.last("_right", ignorenulls=True).over(window(allow_exact_matches).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_right", ignorenulls=True).over(window(not allow_exact_matches).rowsBetween(0, Window.unboundedFollowing))
     if strategy == "nearest":
-        both = both.withColumn("_a", before).withColumn("_b", after)
+        both = both.withColumn("_a", near(False)).withColumn("_b", near(True))
         back, ahead = distance(F.col(p), F.col("_a._p"), kind), distance(F.col("_b._p"), F.col(p), kind)
         hit = F.when(F.col("_a").isNull() | (ahead <= back), F.col("_b")).otherwise(F.col("_a"))
     else:
-        hit = before if strategy == "backward" else after
-    rows = both.withColumn("_hit", hit).where("_left")
+        hit = near(strategy == "forward")
+    found = both.withColumn("_hit", hit).where("_left")
     if within is not None:
         apart = F.abs(distance(F.col(p), F.col("_hit._p"), kind))
-        rows = rows.withColumn("_hit", F.when(apart <= F.lit(within), F.col("_hit")))
-    return rows.select(*[F.col(f"_own.`{c}`").alias(c) if c in own else F.col(f"`{c}`") for c in left.columns], *[F.col(f"_hit.`{v}`").alias(v) for v in values])
+        found = found.withColumn("_hit", F.when(apart <= F.lit(within), F.col("_hit")))
+    return found.select(*[F.col(f"_own.`{c}`").alias(c) if c in own else F.col(f"`{c}`") for c in left.columns], *[F.col(f"_hit.`{v}`").alias(v) for v in values])
+
+
+def blocks(both: DataFrame, p: str, by: list[str], kind: T.DataType, hot_rows: int) -> DataFrame:
+    """With _block, and for the blocks of hot groups the nearest right rows _before and _after the block.
+
+    Blocks are of equal width of ``p``, four for each ``hot_rows`` rows, so equal ``p`` are in one. No side is
+    hinted as small: the tables of hot groups and blocks have a row for ``hot_rows / 4`` rows at most, and
+    adaptive execution sees their size.
+    """
+    sizes = both.groupBy(*by).agg(F.count("*").alias("_n"), F.min(p).alias("_lo"), F.max(p).alias("_hi")).where(F.col("_n") > hot_rows)
+    reach, at = distance(F.col("_hi"), F.col("_lo"), kind).cast("double"), distance(F.col(p), F.col("_lo"), kind).cast("double")
+    count = F.ceil(F.col("_n") * 4 / F.lit(hot_rows))
+    block = F.coalesce(F.when(reach > 0, F.least(F.floor(at / reach * count), count - 1)), F.lit(0)).cast("long")
+    tagged = _left_join(both, sizes, by).withColumn("_block", block).withColumn("_hot", F.col("_n").isNotNull()).drop("_n", "_lo", "_hi")
+    when = F.when(~F.col("_left"), F.col(p))
+    ends = tagged.where("_hot").groupBy(*by, "_block").agg(F.max_by("_right", when).alias("_newest"), F.min_by("_right", when).alias("_oldest"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_block", F.last("_newest", ignorenulls=True).over(earlier).alias("_before"), F.last("_oldest", ignorenulls=True).over(later).alias("_after"))
+    return _left_join(tagged, carried, [*by, "_block"])
+
+
+def _left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A left join on keys of which null equals null; without keys ``right`` is the one row of a whole aggregate."""
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"_on_{i}") for i, k in enumerate(on)], *[F.col(c) for c in right.columns if c not in on])
+    condition = F.lit(True)
+    for i, k in enumerate(on):
+        condition = condition & F.col(f"`{k}`").eqNullSafe(F.col(f"_on_{i}"))
+    return left.join(renamed, condition, "left").drop(*[f"_on_{i}" for i in range(len(on))])

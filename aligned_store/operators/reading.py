@@ -34,11 +34,15 @@ def context(strategy: str, start, end) -> tuple:
     return (None if strategy in ("backward", "nearest") else start, None if strategy in ("forward", "nearest") else end)
 
 
-def align(index: DataFrame, scan, signal_type: str, params: str | None, features: list[str], keys: list[str], primary: str, start=None, end=None) -> DataFrame:
-    """``index`` (already bounded) with ``features`` of one group; ``scan(low, high)`` gives the group's rows of a range."""
+def align(index: DataFrame, scan, signal_type: str, params: str | None, features: list[str], keys: list[str], primary: str, start=None, end=None, count=None) -> DataFrame:
+    """``index`` (already bounded) with ``features`` of one group; ``scan(low, high)`` gives the group's rows of a range.
+
+    ``count(low, high)``, if given, bounds the rows of that range and of the index.
+    """
     if signal_type == AS_OF:
         p = as_of_params(params)
         strategy = p.get("strategy", "backward")
-        rows = scan(*context(strategy, start, end)).select(*keys, *[F.col(f"`{f}`") for f in features])
-        return as_of_join(index, rows, primary, [k for k in keys if k != primary], features, strategy, p.get("tolerance"), p.get("allow_exact_matches", True))
+        reach = context(strategy, start, end)
+        rows = scan(*reach).select(*keys, *[F.col(f"`{f}`") for f in features])
+        return as_of_join(index, rows, primary, [k for k in keys if k != primary], features, strategy, p.get("tolerance"), p.get("allow_exact_matches", True), rows=count(*reach) if count else None)
     return index.join(scan(start, end).select(*keys, *[F.col(f"`{f}`") for f in features]), keys, "left")

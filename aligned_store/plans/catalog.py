@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Row
 
 from ..schemas import FEATURE_METADATA
+from ..sources.shared import local_frame
 
 
 def latest_per_feature(rows: Iterable[Row]) -> dict[str, Row]:
@@ -56,4 +57,4 @@ class FeatureMetadata:
             picked = [known.get(k) for k in zip(self.feature_names, self.feature_versions, strict=True)]
         if missing := [n for n, r in zip(self.feature_names, picked, strict=True) if r is None]:
             raise ValueError(f"not found: {', '.join(missing)}")
-        return lake.spark.createDataFrame(picked, FEATURE_METADATA)
+        return local_frame(lake.spark, picked, FEATURE_METADATA)

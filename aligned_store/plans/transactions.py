@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from ..schemas import ERROR_CHARS, FAILED, PENDING, ROLLED_BACK, SUCCESS, TRANSACTION_LOG
+from ..sources.shared import local_frame
 
 
 class Touched:
@@ -33,7 +34,7 @@ def transaction(lake, owner: str, signal_type: str):
 
     def log(status: str, error: str | None = None) -> None:
         row = (key, status, owner, signal_type, started, dt.datetime.now(dt.UTC), error[:ERROR_CHARS] if error else None)
-        lake.io.write(lake.spark.createDataFrame([row], TRANSACTION_LOG).coalesce(1), lake.transaction_log)
+        lake.io.write(local_frame(lake.spark, [row], TRANSACTION_LOG), lake.transaction_log)
 
     lake.ensure_transaction_log()
     log(PENDING)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows as a local relation: no Python worker makes them, as it would rows given as a list.
+
+    A timestamp without a time zone is in this process's, as in ``createDataFrame``.
+    """
+    zoned = {i for i, f in enumerate(schema.fields) if isinstance(f.dataType, T.TimestampType)}
+
+    def value(i: int, x):
+        return x.astimezone() if i in zoned and isinstance(x, dt.datetime) and x.tzinfo is None else x
+
+    shape = to_arrow_schema(schema)
+    columns = [pa.array([value(i, r[i]) for r in rows], f.type) for i, f in enumerate(shape)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=shape), schema)

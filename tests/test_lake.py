@@ -1,6 +1,7 @@
 """Scenarios of a feature lake: small deterministic frames, expected values worked out in plain Python."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -122,6 +123,33 @@ def test_as_of_picks_the_row_and_checks_strategy(spark, lake):
         tolerance_of("soon", T.TimestampType())
 
 
+@pytest.mark.parametrize("by", [["symbol"], []])
+@pytest.mark.parametrize("exact", [True, False])
+@pytest.mark.parametrize("strategy", ["backward", "forward", "nearest"])
+def test_as_of_in_blocks_against_brute_force(spark, strategy, exact, by):
+    rng = random.Random(5)
+    place = [*([("hot")] * 6), "cold", None]
+    left = [(rng.randrange(60), rng.choice(place), i) for i in range(80)]
+    # one observation for each day and group, so that no two are equally near on one side
+    right = [(d, s, None if (d * 7) % 5 == 0 else d * 10) for d, s in sorted({(rng.randrange(60), rng.choice(place)) for _ in range(25)}, key=str)]
+    if not by:
+        right = list({r[0]: r for r in right}.values())
+    got = {r.x: r.e for r in as_of_join(frame(spark, left, x=L), frame(spark, right, e=L), "timestamp", by, ["e"], strategy, "9d", exact, hot_rows=10).collect()}
+    want = {}
+    for d, s, x in left:
+        known = [(r[0], r[2]) for r in right if (not by or r[1] == s) and abs(r[0] - d) <= 9 and (exact or r[0] != d)]
+        known = [k for k in known if strategy == "nearest" or (k[0] <= d if strategy == "backward" else k[0] >= d)]
+        want[x] = min(known, key=lambda k: (abs(k[0] - d), -k[0]))[1] if known else None
+    assert got == want
+
+
+def test_as_of_in_blocks_of_one_moment_and_of_nothing(spark):
+    left, right = frame(spark, [(1, "a", i) for i in range(30)], x=L), frame(spark, [(1, "a", 7)], e=L)
+    assert {r.e for r in as_of_join(left, right, "timestamp", ["symbol"], ["e"], hot_rows=5).collect()} == {7}
+    assert {r.e for r in as_of_join(left, right.limit(0), "timestamp", ["symbol"], ["e"], hot_rows=5).collect()} == {None}
+    assert as_of_join(left.limit(0), right, "timestamp", ["symbol"], ["e"], hot_rows=5).count() == 0
+
+
 def test_as_of_upload_keeps_other_observations(spark, lake):
     lake.add_features(frame(spark, [(i, "a", i) for i in range(6)], x=L))
     lake.add_as_of_features(frame(spark, [(0, "a", 1), (2, "a", 2), (4, "a", 3)], e=L), {})
