@@ -102,6 +102,43 @@ def test_propagation_against_numpy(spark):
         assert np.allclose([got.get(f"h{i}", (0, 0))[k] for i in range(n)], p)
 
 
+def limit(hosts, edges, good, bad):
+    """Ranks at their limits, by solving the equations: edges (from, to) of equal weight."""
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in edges:
+        m[at[a], at[b]] += 1
+    out = []
+    for w, seed in ((m, good), (m.T, bad)):
+        s = np.array([seed.get(h, 0) for h in hosts], float)
+        share = w / np.maximum(w.sum(1, keepdims=True), 1)
+        out.append(np.linalg.solve(np.eye(len(hosts)) - 0.85 * share.T, 0.15 * s / s.sum()))
+    return {h: (out[0][i], out[1][i]) for h, i in at.items()}
+
+
+def test_ranks_and_verdicts_at_convergence(spark):
+    # a tree of hosts, where trust is at even and odd distances in turn; after 8 rounds some are on the wrong side
+    subs = {"a": 3, "b": 2, "c": 1}
+    hosts = ["example.com", *[f"{x}.example.com" for x in subs], *[f"s{k}.{x}.example.com" for x, n in subs.items() for k in range(n)]]
+    edges = [e for h in hosts[1:] for p in [h.split(".", 1)[1]] for e in ((h, p), (p, h))]
+    rng = random.Random(8)
+    good, bad = ({h: rng.randint(0, 3) for h in hosts} for _ in range(2))
+    seeds = spark.createDataFrame([(h, good[h], bad[h]) for h in hosts], "host string, good long, bad long")
+    links = spark.createDataFrame([], "src string, dst string, w double")
+    want = limit(hosts, edges, good, bad)
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(links, seeds).collect()}
+    assert max(abs(got[h][k] - want[h][k]) for h in hosts for k in (0, 1)) < 1e-6
+    blocked = lambda ranks: {h for h, (t, d) in ranks.items() if d >= t}
+    assert blocked(got) == blocked(want)
+    early = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(links, seeds, rounds=8).collect()}
+    assert len(blocked(early) ^ blocked(want)) == 3
+    # a chain longer than any fixed number of rounds: what is known still reaches its end
+    chain = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(25)], "src string, dst string, w double")
+    ends = spark.createDataFrame([("h0", 1, 0)], "host string, good long, bad long")
+    far = {r.host: r.trust for r in urlgraph.propagate(chain, ends, family=False).collect()}
+    assert np.allclose([far[f"h{i}"] for i in range(26)], [0.15 * 0.85**i for i in range(26)], atol=0)
+
+
 # quality and language
 
 
