@@ -5,8 +5,10 @@ the page's whole sequence of blocks, each as the mean of learned vectors of its
 and ids) and of its hashed words, with a few numbers, and labels every block as main text or not. It is
 trained here, on generated pages of many layouts whose main text is known.
 
-Defined results: null or empty html has empty text. Scripts, styles, templates, comments and the head are
-never blocks. A page without a block labelled main text has empty text. Repeated rows are extracted each; a null
+Defined results: null or empty html has empty text. Scripts, styles, templates, comments, svg and the head are
+never blocks. The head ends at its end tag, at body, or where something follows that can't stand in it; an svg
+also at the next block or HTML element, and a self-closed one is empty; noscript, template, title and foreignObject
+without an end tag hide nothing further. Only scripts, styles and comments run to the end of input. A page without a block labelled main text has empty text. Repeated rows are extracted each; a null
 url is carried along; extra columns are ignored.
 """
 
@@ -32,7 +34,14 @@ _VOID = frozenset("hr br img input meta link area base col embed source track wb
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul details".split())
 _BARRIER = frozenset("ul ol dl table div section article aside nav header footer main form blockquote td th body fieldset select details".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S | re.I)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript|head)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S | re.I)
+#: Ends of templates that aren't in comments, scripts or styles.
+_TEMPLATE_END = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|(</template)(?=[\s/>])", re.S | re.I)
+#: Elements whose content is no text, up to their first end tag; and what may stand in head without ending it.
+_HIDDEN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "noscript", "title", "foreignobject")}
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta script style template noscript".split())
+#: What ends an open svg, besides blocks.
+_ENDS_SVG = BLOCK | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -68,21 +77,75 @@ def blocks(html: str) -> list[Block]:
         if anchor:
             linked += len(piece)
 
-    at = 0
-    for m in _TAG.finditer(html):
-        if m.start() > at:
+    found: dict[str, int] = {}
+
+    def after(name: str, at: int) -> int:
+        """Where the next end tag of that name ends, or -1."""
+        if name not in found or 0 <= found[name] <= at:
+            m = _HIDDEN[name].search(html, at)
+            found[name] = m.end() if m else -1
+        return found[name]
+
+    at = template = svg = 0
+    head = False
+    last = -1  # where the last end of a template is, once one was opened
+    inside: dict[str, int] = {}  # elements open in svg
+    while m := _TAG.search(html, at):
+        if m.start() > at and not template and not svg and (not head or not html[at : m.start()].isspace()):
+            head = False
             add(html[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[1] or m[4] or "").lower()
         if not name:
             continue
+        end, named = bool(m[3]), m[2] if m[1] else m[5]
+        empty = named.endswith("/")
+        if not end and name in _HIDDEN and not (svg and (empty or name == "title")) and (svg or name != "foreignobject"):
+            to = after(name, at)
+            if to < 0 and name in ("script", "style"):
+                at = len(html)
+                break
+            if to < 0 and name == "title":
+                to = html.find("<", at)
+                to = len(html) if to < 0 else to
+            at = max(at, to)
+            continue
+        if name == "template":
+            if end:
+                template = max(0, template - 1) if m.start() < last else 0
+            else:
+                if last < 0:
+                    last = max((x.start() for x in _TEMPLATE_END.finditer(html) if x[2]), default=0)
+                template += at <= last
+            continue
+        if template:
+            continue
+        if head and (name not in _IN_HEAD if not end else name in ("head", "body", "html", "br")):
+            head = False
+        if name == "svg":
+            svg = max(0, svg - 1) if end else svg + (not empty)
+            if not svg:
+                inside.clear()
+            continue
+        if svg:
+            if end and inside.get(name):
+                inside[name] -= 1
+                continue
+            if name not in _ENDS_SVG and not (end and name in ("a", "body", "html")):
+                inside[name] = inside.get(name, 0) + (not end and not empty)
+                continue
+            svg = 0
+            inside.clear()
+        if name == "head":
+            head = not end
+            continue
         if name == "br":
             text.append(" ")
         elif name == "a":
-            anchor = 0 if m[2] else 1
+            anchor = 0 if end else 1
         elif name in BLOCK:
             flush()
-            if m[2]:
+            if end:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -95,9 +158,9 @@ def blocks(html: str) -> list[Block]:
                     elif stack[k][0] in _BARRIER:
                         break
                 if name not in _VOID:
-                    named = " ".join(filter(None, (x for t in _NAMES.findall(m[4]) for x in t))).lower()
+                    named = " ".join(filter(None, (x for t in _NAMES.findall(named) for x in t))).lower()
                     stack.append((name, (name, *("." + x for x in _PART.findall(named)))))
-    if at < len(html):
+    if at < len(html) and not svg:
         add(html[at:])
     flush()
     return out

@@ -410,3 +410,30 @@ def test_blocks_and_labeller(spark):
         right += sum(bool(k) == (b.text in main) for b, k in zip(own, html.trained().label([own])[0], strict=True))
         total += len(own)
     assert right / total > 0.98
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><article><p>Text.</p></article></body></html>", ["Text."]),
+        ("<head><meta charset=utf-8><title>a <b> c</title><link rel=x href=y><script>if (a</b/) '<p>'</script><article><p>Text.</p>", ["Text."]),
+        ("<head><title>x</title>Text at once. <p>More.", ["Text at once.", "More."]),
+        ("<head><title>x<p>Text.</p>", ["Text."]),
+        ("<head>\n<title>x</title></head><header>Top</header><p>Text.", ["Top", "Text."]),
+        ('<p>One <svg width="1" aria-label="a > b"/> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ("<p>One <svg><g><title>t</title><svg><text>a</text></svg><text>b</text></g></svg>two.</p>", ["One two."]),
+        ("<div><svg><path d='x'></div><p>Text.</p>", ["Text."]),
+        ("<a href='/'><svg><path></a> Text. <svg><a>in</a><text>no</text></svg>", ["Text."]),
+        ("<svg><foreignObject><p>in</p></foreignObject><script href='x'/></svg><p>Text.", ["Text."]),
+        ("<svg><foreignObject><p>Text.</p><p>More.</p>", ["Text.", "More."]),
+        ("<noscript><p>Text.</p>", ["Text."]),
+        ("<noscript><p>no</p></noscript ><p>Text.</p>", ["Text."]),
+        ("<template><p>Text.</p><script>'</template>'</script>", ["Text."]),
+        ("<template><template><p>a</p></template><p>b</p></template><p>Text.</p>", ["Text."]),
+        ("<p>Text.<script>var x = '<p>no</p>';", ["Text."]),
+        ("<p>Text.<style>p { color: red }", ["Text."]),
+        ("<!--><p>Text.</p><!-- no --!><p>More.</p><!-- no", ["Text.", "More."]),
+    ],
+)
+def test_blocks_of_pages_without_end_tags(page, want):
+    assert [b.text for b in html.blocks(page)] == want
