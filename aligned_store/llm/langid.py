@@ -157,12 +157,15 @@ def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return named.select("doc_id", held_out(F.col("doc_id"), kw.get("modulus", 4), kw.get("remainder", 2)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, languages: list[str] | None = None, min_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:
-    """``docs`` of a known language (of ``languages``, if given) told with ``min_score`` or more; columns unchanged."""
+def keep_languages(docs: DataFrame, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:
+    """``docs`` whose language is told (as one of ``languages``, if given); columns unchanged.
+
+    Only text without letters is told as none; text in a language not learned passes as one that was.
+    """
     model = fit(docs, id_col, text_col, lang_col, **kw)
     names = (fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score"))
     named = with_language(docs, model, text_col, names)
-    good = (F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)
+    good = F.col(names[0]) != UNKNOWN
     if languages is not None:
         good &= F.col(names[0]).isin(languages)
     return named.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -174,6 +174,10 @@ def test_language(spark):
     kept = langid.keep_languages(docs(spark, rows), per_language=60)
     assert kept.columns == DOCS.fieldNames()
     assert langid.language(docs(spark, [(1, "a", None)])).first().lang_pred == "und"
+    # only `und` is rejected, and no threshold is offered that can't act
+    assert kept.count() == sum(r.lang_pred != "und" for r in got)
+    with pytest.raises(TypeError):
+        langid.keep_languages(docs(spark, rows), per_language=60, min_score=0.1)
 
 
 # WARC
