@@ -210,12 +210,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return found.select("doc_id", F.col(n["n_words"]).alias("n_words"), hit.alias("n_hit"), count.alias("n_items"), F.sha2(F.concat_ws(",", n["items"]), 256).alias("items_sha256"), (count >= min_items).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min_span: int = WINDOW, max_coverage: float = 0.8, **kw) -> DataFrame:
-    """Documents without the matched spans of ``min_span`` words or more; one whose words are hit to ``max_coverage`` or more is dropped.
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.8, **kw) -> DataFrame:
+    """Documents without the matched spans, of ``window`` words or more; one whose words are hit to ``max_coverage`` or more is dropped.
 
     Spans of short items, which are whole items, go too. The columns stay those of ``docs``.
     """
-    window, own = kw.get("window", WINDOW), docs.columns
+    own = docs.columns
 
     def finish(batch: pa.RecordBatch, names: dict[str, str]) -> pa.RecordBatch:
         at = {k: batch.schema.get_field_index(v) for k, v in (names | {"text": text_col}).items()}
@@ -226,11 +226,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min
             pairs = list(zip(s[::2], s[1::2], strict=True))
             hit = sum(b - a for a, b in pairs)
             keep.append(not n[k] or hit < max_coverage * n[k])
-            # a match shorter than the window is a whole short item
-            gone = [(a, b) for a, b in pairs if b - a >= min(min_span, window) or b - a < window]
-            if gone and keep[-1]:
+            if pairs and keep[-1]:
                 texts = texts or column.to_pylist()
-                texts[k] = strip(texts[k], gone)
+                texts[k] = strip(texts[k], pairs)
         cols = [pa.array(texts, pa.string()) if texts and i == at["text"] else batch.column(i) for i in range(len(own))]
         return pa.RecordBatch.from_arrays(cols, names=own).filter(pa.array(keep))
 

@@ -67,6 +67,8 @@ def test_decontaminated_text(spark):
     rows = [(1, "Clean é words. " + passage.upper() + "! More clean words follow here, many of them", "en"), (2, passage, "en"), (3, "all clean", "en"), (4, None, "en")]
     out = {r.doc_id: r.text for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
     assert out == {1: "Clean é words. ! More clean words follow here, many of them", 3: "all clean", 4: None}
+    with pytest.raises(TypeError):  # the limit by length is the window alone
+        decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame([(1, passage)], "item_id long, text string"), min_span=20)
 
 
 # url filter
