@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_batches, small_join, utf8
+from .common import cut, fresh, map_batches, small_join, utf8, with_columns
 from .graph import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -75,6 +75,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, schema)
 
 
+def _with_fingerprint(docs: DataFrame, name: str, text_col: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, batch.num_rows)
+            return with_columns(batch, [name], [pa.array(fps.view(np.int64))])
+
+        return step
+
+    return map_batches(docs, make, schema)
+
+
 def _embedding(fp):
     """Counts of set bits in each two-bit segment, in thermometer code."""
     odd = F.lit(0x5555555555555555)
@@ -109,8 +123,8 @@ def linked_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = 3) -> DataFr
     return left.join(right, match).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest id reachable over links, n_links of the fingerprint)."""
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, **kw) -> DataFrame:
+    """(doc_id, fp, root: the smallest fingerprint of the component, component_id, n_links) of every row."""
     members = cut(fingerprints(docs, id_col, text_col, **kw), "fingerprints")
     distinct = cut(members.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     links = cut(linked_pairs(distinct.select("fp"), radius), "links")
@@ -118,22 +132,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    named = cut(rooted.join(smallest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
-    return members.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    named = cut(rooted.join(smallest, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+    return members.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest id reachable over links, n_links of the fingerprint)."""
+    return _members(docs, id_col, text_col, radius, **kw).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns unchanged.
 
-    Of rows with that id one stays. A null id stands for a hash of the text above all usual ids.
+    An id may stand on rows with different texts: each is a row of its own component, and of rows of a component
+    with its smallest id one stays, of the smallest fingerprint. A null id stands for a hash of the text above all
+    usual ids.
     """
-    key = fresh(docs.columns, "near_key")
+    key, print_ = fresh(docs.columns, "near_key"), fresh(docs.columns, "near_fp")
     own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.withColumn(key, own)
-    found = cut(near_duplicates(keyed, key, text_col, radius, **kw).select(F.col("doc_id").alias(key), "component_id"), "near")
+    found = cut(_members(keyed, key, text_col, radius, **kw).select(F.col("doc_id").alias(key), F.col("fp").alias(print_), "root", "component_id"), "near")
     again = cut(found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
     gone = cut(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    kept = small_join(keyed, gone, [key], "left_anti")
-    if not again.isEmpty():
-        kept = small_join(kept, again, [key], "left_anti").unionByName(small_join(kept, again, [key], "left_semi").dropDuplicates([key]))
+    if again.isEmpty():
+        kept = small_join(keyed, gone, [key], "left_anti")
+    else:  # rows of repeated ids are told apart by their fingerprints
+        first = found.where(F.col(key) == F.col("component_id")).groupBy("root").agg(F.min(F.struct(key, print_)).alias("first"))
+        stay = small_join(first.select("first.*"), again, [key], "left_semi")
+        single = small_join(small_join(keyed, again, [key], "left_anti"), gone, [key], "left_anti")
+        rows = _with_fingerprint(small_join(keyed, again, [key], "left_semi"), print_, text_col, **kw)
+        rows = small_join(rows, cut(stay, "stay"), [key, print_], "left_semi").dropDuplicates([key, print_])
+        kept = single.unionByName(rows.drop(print_))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -282,6 +282,16 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays_where_ids_repeat(spark):
+    rng = random.Random(14)
+    stock = [f"w{i}" for i in range(300)]
+    a, b, c, d = (words(rng, 80, stock) for _ in range(4))
+    rows = [(0, b, "en"), (1, a, "en"), (1, b, "en"), (1, c, "en"), (2, c, "en"), (1, a, "en"), (3, d, "en"), (4, d, "en")]
+    kept = simhash.drop_near_duplicates(docs(spark, rows))
+    assert kept.columns == DOCS.fieldNames()
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(0, b), (1, a), (1, c), (3, d)])
+
+
 def test_linked_pairs_find_all_within_the_radius(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) for _ in range(40)]
