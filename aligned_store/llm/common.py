@@ -58,6 +58,28 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+#: Keys that hold more than this share of the rows of a join are met one by one; there are no more of them than its inverse.
+HOT_SHARE = 1 / 2048
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join rows to a side with one row for each key, so that no hot key's rows meet in one task.
+
+    A right side of ``limit`` narrow rows at most is sent to all tasks. Beyond that, the keys that hold more than
+    ``HOT_SHARE`` of the left rows are counted; there are fewer than 2,048, whatever the input, so their right rows
+    are sent, and only rows of other keys are shuffled. Both sides should be written tables. Null keys match nothing.
+    """
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), on, how)
+    least = int(left.count() * HOT_SHARE)
+    hot = cut(left.dropna(subset=on).groupBy(*on).count().where(F.col("count") > least).drop("count"), "hot")
+    if hot.isEmpty():
+        return left.join(right.hint("shuffle_hash"), on, how)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    warm = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how)
+    return warm.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right.hint("shuffle_hash"), on, how))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function made once per task.
 

@@ -7,24 +7,27 @@ stretch of ``window`` words or more is a match (for an item shorter than that, t
 Defined results: null or empty text has no words, is never contaminated and comes back unchanged.
 Items with a null id or without words are ignored; items repeated under one id count once. Repeated
 document rows are judged one by one. Documents may have any further columns; result columns get
-underscores before their names where a document column is called so.
+underscores before their names where a document column is called so. An empty table of documents gives no
+rows; without items nothing is hit. Ties can't arise: a word is hit or not. Texts of any length are read whole.
 
-Scale: documents are never shuffled. Test items are taken in shards of ``shard_words`` words at most,
-so the automaton in a worker is bounded; a further shard is a further pass over the documents.
+Scale: with one shard of test items documents aren't shuffled. Items are taken in shards of ``shard_words``
+words at most, so the automaton in a worker is bounded, and it is made once in a worker. A further shard is a
+further reading of the documents that leaves the spans of hit ones only; these are joined at the end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_batches, utf8, with_columns
+from .common import cut, fresh, held, lookup, map_batches, utf8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 8
@@ -161,44 +164,56 @@ def shards(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterato
 def match_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, finish: Callable | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Documents with n_words, spans (hit words, as [begin, end) pairs in one list) and items; and the names these columns got.
 
-    ``finish`` (batch, names) turns the last pass's batches into rows like ``docs`` in the same Python worker.
+    ``finish`` (batch, names) turns the batches into rows like ``docs`` in the same Python worker.
     """
     names = {n: fresh(docs.columns, n) for n in ("n_words", "spans", "items")}
     parts = shards(items, item_col, item_text_col, shard_words)
-    part, out, first = next(parts), docs, True
-    for later in parts:
-        out, part, first = cut(_pass(out, part, text_col, window, names, first), "decontaminate"), later, False
-    return _pass(out, part, text_col, window, names, first, finish, docs.schema if finish else None), names
-
-
-def _pass(docs: DataFrame, part: list[tuple[str, bytes]], text_col: str, window: int, names: dict[str, str], first: bool, finish: Callable | None = None, finished: T.StructType | None = None) -> DataFrame:
+    last, later = next(parts), next(parts, None)
+    if later is None:
+        return _pass(docs, last, text_col, window, names, finish=finish), names
+    # more shards than one: rows are written once with a number, each earlier shard leaves what it found of those
+    # that it hit, and the last pass adds that up; texts aren't written again for each
+    row, found = fresh(docs.columns, "row"), []
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    while later is not None:
+        own = _pass(rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")), last, "text", window, {n: n for n in names})
+        found.append(cut(own.where(F.size("items") > 0).select("row", "spans", "items"), "found"))
+        last, later = later, next(parts, None)
+    earlier = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias(names["spans"]), F.flatten(F.collect_list("items")).alias(names["items"]))
+    joined = lookup(rows, cut(earlier.withColumnRenamed("row", row), "earlier"), [row]).select(*[F.col(f"`{c}`") for c in docs.columns], names["spans"], names["items"])
+    return _pass(joined, last, text_col, window, names, docs.schema, finish), names
+
+
+def _pass(docs: DataFrame, part: list[tuple[str, bytes]], text_col: str, window: int, names: dict[str, str], own: T.StructType | None = None, finish: Callable | None = None) -> DataFrame:
+    """One shard over all rows of ``docs``; where spans and items of others are at hand, ``own`` has the columns before them."""
     shared = docs.sparkSession.sparkContext.broadcast(part)
-    added = [T.StructField(names["n_words"], T.LongType()), T.StructField(names["spans"], T.ArrayType(T.IntegerType())), T.StructField(names["items"], T.ArrayType(T.StringType()))]
-    schema = T.StructType(docs.schema.fields + added if first else docs.schema.fields)
+    key = f"automaton {uuid.uuid4().hex}"
+    first = own is None
+    own = own or docs.schema
+    schema = T.StructType([*own.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["spans"], T.ArrayType(T.IntegerType())), T.StructField(names["items"], T.ArrayType(T.StringType()))])
 
     def make():
-        automaton = SuffixAutomaton([(i, WORD.findall(t)) for i, t in shared.value], window)
+        automaton = held(key, lambda: SuffixAutomaton([(i, WORD.findall(t)) for i, t in shared.value], window))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, spans, found = [], [], []
-            old = None if first else [batch.column(batch.schema.get_field_index(names[k])).to_pylist() for k in ("spans", "items")]
-            for k, text in enumerate(utf8(batch.column(batch.schema.get_field_index(text_col)))):
+            old = None if first else [batch.column(len(own) + k).to_pylist() for k in range(2)]
+            for k, text in enumerate(utf8(batch.column(own.fieldNames().index(text_col)))):
                 words = WORD.findall(text.lower())
                 s, i = automaton.match(words)
-                if old:
+                if old and old[0][k]:
                     before = old[0][k]
                     s, i = merge(s + list(zip(before[::2], before[1::2], strict=True))), i | set(old[1][k])
                 n.append(len(words))
                 spans.append([x for ab in s for x in ab])
                 found.append(sorted(i))
             arrays = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-            keys = [names[k] for k in ("n_words", "spans", "items")]
-            out = with_columns(batch, keys, arrays) if first else with_columns(batch, [], [], dict(zip(keys, arrays, strict=True)))
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *arrays], names=schema.names)
             return finish(out, names) if finish else out
 
         return step
 
-    return map_batches(docs, make, finished or schema)
+    return map_batches(docs, make, own if finish else schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **kw) -> DataFrame:
@@ -245,6 +260,3 @@ def strip(text: str, spans: list[tuple[int, int]]) -> str:
         at = ends[b - 1][1]
     return b"".join([*out, raw[at:]]).decode()
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

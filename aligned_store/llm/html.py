@@ -8,8 +8,11 @@ trained here, on generated pages of many layouts whose main text is known.
 Defined results: null or empty html has empty text. Scripts, styles, templates, comments, svg and the head are
 never blocks. The head ends at its end tag, at body, or where something follows that can't stand in it; an svg
 also at the next block or HTML element, and a self-closed one is empty; noscript, template, title and foreignObject
-without an end tag hide nothing further. Only scripts, styles and comments run to the end of input. A page without a block labelled main text has empty text. Repeated rows are extracted each; a null
-url is carried along; extra columns are ignored.
+without an end tag hide nothing further. Only scripts, styles and comments run to the end of input. A quote in a
+tag that is never closed ends with the tag. A page without a block labelled main text has empty text; a block as
+likely as not is main text. Repeated rows are extracted each; a null url is carried along; ids may be of any type;
+extra columns are ignored. An empty table gives no rows. Pages of any length are read whole, each by itself where
+it is long; what is kept of one grows with its tags and text.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ _VOID = frozenset("hr br img input meta link area base col embed source track wb
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul details".split())
 _BARRIER = frozenset("ul ol dl table div section article aside nav header footer main form blockquote td th body fieldset select details".split())
-_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript|head)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S | re.I)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript|head)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S | re.I)
 #: Ends of templates that aren't in comments, scripts or styles.
 _TEMPLATE_END = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|(</template)(?=[\s/>])", re.S | re.I)
 #: Elements whose content is no text, up to their first end tag; and what may stand in head without ending it.
@@ -42,23 +45,57 @@ _HIDDEN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "
 _IN_HEAD = frozenset("html head title base basefont bgsound link meta script style template noscript".split())
 #: What ends an open svg, besides blocks.
 _ENDS_SVG = BLOCK | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
+#: A tag or comment that the page ends in.
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 PATHS, WORDS, DIM, HIDDEN, NUMBERS = 256, 256, 12, 12, 5
 
 
+class Step:
+    """An open element: its names, and the path above it. Blocks share their paths, which thus take no more than the tags."""
+
+    __slots__ = ("above", "names", "size", "sum", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Step | None):
+        self.tag, self.names, self.above = tag, names, above
+        self.size, self.sum = len(names) + (above.size if above else 0), None
+
+    def path(self) -> list[str]:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.names)
+            at = at.above
+        return [n for names in reversed(parts) for n in names]
+
+    def vector(self, table: np.ndarray) -> np.ndarray:
+        """The sum of the rows of ``table`` that the path's names have, kept for the paths below."""
+        todo, at = [], self
+        while at is not None and at.sum is None:
+            todo.append(at)
+            at = at.above
+        for step in reversed(todo):
+            above = 0 if step.above is None else step.above.sum
+            step.sum = above + table[[zlib.crc32(x.encode()) % PATHS for x in step.names]].sum(0, dtype=np.float64)
+        return self.sum
+
+
 class Block:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("at", "linked", "text")
+
+    def __init__(self, at: Step | None, text: str, linked: int):
+        self.at, self.text, self.linked = at, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        return tuple(self.at.path()) if self.at else ()
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks, with white space made single; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Step] = []
     text: list[str] = []
     anchor, linked = 0, 0
 
@@ -67,7 +104,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             whole = _SPACE.sub(" ", unescape("".join(text))).strip()
             if whole:
-                out.append(Block(tuple(x for _, names in stack for x in names), whole, linked))
+                out.append(Block(stack[-1] if stack else None, whole, linked))
             text.clear()
         linked = 0
 
@@ -90,15 +127,22 @@ def blocks(html: str) -> list[Block]:
     head = False
     last = -1  # where the last end of a template is, once one was opened
     inside: dict[str, int] = {}  # elements open in svg
-    while m := _TAG.search(html, at):
+    opened: dict[str, int] = {}  # and in the page
+    closing = html.rfind(">") + 1  # no tag ends after it
+    while m := _TAG.search(html, at, closing):
         if m.start() > at and not template and not svg and (not head or not html[at : m.start()].isspace()):
             head = False
             add(html[at : m.start()])
         at = m.end()
-        name = (m[1] or m[4] or "").lower()
+        if at == closing and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+            at = len(html)
+            break
+        # a quote that is never closed holds nothing: its tag ends at the next >
+        slash, tag, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
+        name = (m[1] or tag or "").lower()
         if not name:
             continue
-        end, named = bool(m[3]), m[2] if m[1] else m[5]
+        end, named = bool(slash), m[2] if m[1] else attributes
         empty = named.endswith("/")
         if not end and name in _HIDDEN and not (svg and (empty or name == "title")) and (svg or name != "foreignobject"):
             to = after(name, at)
@@ -146,22 +190,27 @@ def blocks(html: str) -> list[Block]:
         elif name in BLOCK:
             flush()
             if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened.get(name):
+                    while stack:
+                        opened[stack[-1].tag] -= 1
+                        if stack.pop().tag == name:
+                            break
             else:
                 ends = _ENDS.get(name) or ({"p"} if name in _ENDS_P else ())
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
+                for k in range(len(stack) - 1, -1, -1) if ends else ():
+                    if stack[k].tag in ends:
+                        for step in stack[k:]:
+                            opened[step.tag] -= 1
                         del stack[k:]
-                    elif stack[k][0] in _BARRIER:
+                    elif stack[k].tag in _BARRIER:
                         break
                 if name not in _VOID:
                     named = " ".join(filter(None, (x for t in _NAMES.findall(named) for x in t))).lower()
-                    stack.append((name, (name, *("." + x for x in _PART.findall(named)))))
-    if at < len(html) and not svg:
-        add(html[at:])
+                    stack.append(Step(name, (name, *("." + x for x in _PART.findall(named))), stack[-1] if stack else None))
+                    opened[name] = opened.get(name, 0) + 1
+    rest = _UNENDED.split(html[at:], maxsplit=1)[0]
+    if rest and not svg and not template and (not head or not rest.isspace()):
+        add(rest)
     flush()
     return out
 
@@ -224,27 +273,31 @@ class Labeller:
             self.w |= {f"x{d}": init(size, 4 * HIDDEN), f"h{d}": init(HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.w[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: pages x blocks x inputs. Backwards reads each page from its last block."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, tape: bool = True) -> tuple[np.ndarray, list]:
+        """x: pages x blocks x inputs. Backwards reads each page from its last block. The tape is for training."""
         n, t, _ = x.shape
-        pre = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
         h = c = np.zeros((n, HIDDEN), np.float32)
         out, steps = np.zeros((n, t, HIDDEN), np.float32), []
+        begin, pre = 0, np.zeros((n, 0, 4 * HIDDEN), np.float32)
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = pre[:, k] + h @ self.w[f"h{d}"]
+            if not begin <= k < begin + pre.shape[1]:  # the inputs' part, some steps at a time
+                begin = k if d == "f" else max(0, k - 255)
+                pre = x[:, begin : begin + 256 if d == "f" else k + 1] @ self.w[f"x{d}"] + self.w[f"c{d}"]
+            z = pre[:, k - begin] + h @ self.w[f"h{d}"]
             s = _sigmoid(z[:, : 3 * HIDDEN])
             i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             m = mask[:, k : k + 1]
             new = f * c + i * g
             tanh = np.tanh(new)
-            steps.append((k, h, c, i, f, o, g, tanh, m))
+            if tape:
+                steps.append((k, h, c, i, f, o, g, tanh, m))
             c = m * new
             h = m * (o * tanh)
             out[:, k] = h
         return out, steps
 
-    def forward(self, x, mask):
-        f, b = self._run(x, mask, "f"), self._run(x, mask, "b")
+    def forward(self, x, mask, tape: bool = True):
+        f, b = self._run(x, mask, "f", tape), self._run(x, mask, "b", tape)
         joint = np.concatenate([f[0], b[0], x], 2)
         return _sigmoid(joint @ self.w["out"] + self.w["bias"])[:, :, 0], (x, f, b, joint)
 
@@ -274,13 +327,10 @@ class Labeller:
     def vectors(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """What the network reads for each block of each page, at once for all pages."""
         every = [b for p in pages for b in p]
-        kept: dict[tuple[str, ...], np.ndarray] = {}
-        path = np.empty((len(every), DIM), np.float32)
+        path = np.zeros((len(every), DIM), np.float32)
         for i, b in enumerate(every):
-            if b.path not in kept:
-                at = _path_buckets(b.path)
-                kept[b.path] = self.w["path"][at].mean(0) if at else np.zeros(DIM, np.float32)
-            path[i] = kept[b.path]
+            if b.at is not None:
+                path[i] = b.at.vector(self.w["path"]) / b.at.size
         words, count = _word_buckets([b.text for b in every])
         word = np.add.reduceat(self.w["word"][words], np.concatenate([[0], np.cumsum(count)[:-1]])) / count[:, None]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
@@ -317,7 +367,7 @@ class Labeller:
             while take < len(order) and (take + 1) * len(pages[order[-take - 1]]) <= cells and len(pages[order[-1]]) * (take + 1) <= cells:
                 take += 1
             some, order = order[-take:], order[:-take]
-            p, _ = self.forward(*_padded([(x,) for x in self.vectors([pages[i] for i in some])]))
+            p, _ = self.forward(*_padded([(x,) for x in self.vectors([pages[i] for i in some])]), tape=False)
             for k, i in enumerate(some):
                 out[i] = p[k, : len(pages[i])] >= 0.5
         return out

@@ -9,17 +9,19 @@ texts; the standardisation is folded into the weights, so scoring is one table g
 
 Defined results: text that is null or has no letter is ``und`` with score 0. If only one language is
 learned, every other text gets it with score 1; without any, every text is ``und``. Ties go to the
-alphabetically first. Repeated rows are each judged; extra columns are never inputs.
+alphabetically first. Repeated rows are each judged; extra columns are never inputs. A letter is a character
+of Unicode's category L, in learning and in judging. An empty table gives no rows. Texts of any length are read
+whole, window by window.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from .hashing import mean_scores
 from .samples import balanced, collect_features
 
 BITS, PER_LANGUAGE, SAMPLE_ROWS, STEPS, UNKNOWN = 13, 400, 4000, 3000, "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Families of some languages with much text (ISO 639-1).
 FAMILIES = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "is", "af"), "germanic"),

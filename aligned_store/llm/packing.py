@@ -8,7 +8,9 @@ goes best-fit. A plan is a list of patterns (lengths) with how often each is use
 numbered within their length, without bringing one length to one task, and look their place up.
 
 Defined results: null or empty text is a piece of the separator alone. Repeated rows are packed each.
-Null ids are carried along. Extra columns are ignored. An empty table gives no pieces.
+Ids may be of any type and null; they are only carried along. Pieces of equal length are interchangeable, so
+ties go to any of them. Extra columns are ignored. An empty table gives no pieces. Texts of any length are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -143,14 +145,19 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 PIECES = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): documents cut to ``capacity`` ids; the first piece may be shorter."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *PIECES])
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, buckets: int = 1) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, bucket): documents cut to ``capacity`` ids; the first piece may be shorter.
+
+    A task deals its pieces to the buckets in turn, so pieces that are equal in everything are spread too.
+    """
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *PIECES, T.StructField("bucket", T.IntegerType())])
 
     def make():
         own, end = encoder(path), np.array([separator], "<u4").tobytes()
+        turn = None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal turn
             who, rows = [], []
             for i, ids in enumerate(own.batch([t or "" for t in batch.column(1).to_pylist()])):
                 raw = ids.tobytes() + end
@@ -161,7 +168,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     rows.append((k, begin, stop - begin, zlib.crc32(raw[4 * begin : 4 * stop])))
                     begin, stop, k = stop, stop + capacity, k + 1
             cols = np.array(rows, np.int64).reshape(-1, 4).T
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])], names=schema.names)
+            if turn is None:  # tasks begin at different buckets
+                turn = int(cols[3][0]) if len(rows) else 0
+            dealt = ((np.arange(len(rows)) + turn) % buckets).astype(np.int32)
+            turn += len(rows)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:]), pa.array(dealt)], names=schema.names)
 
         return step
 
@@ -171,17 +182,16 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """Pieces with sequence_id and offset in it."""
     spark = docs.sparkSession
-    made = cut(pieces(docs, path, id_col, text_col, capacity, separator), "pieces")
     # numbers within a length, in two levels: buckets of rows have their own counts, so no length meets in one task
-    buckets = 16 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucketed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bucketed = cut(pieces(docs, path, id_col, text_col, capacity, separator, buckets), "pieces")
     counted = cut(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     totals = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(places(plan(totals, capacity)))
     before = counted.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     numbered = bucketed.withColumn("own", own).join(before, ["bucket", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("number"))
-    schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*bucketed.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

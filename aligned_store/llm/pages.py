@@ -11,7 +11,7 @@ _MARKS = ["%%%", "***", "###", "&&&", "$$$", "!!", " |"]
 
 
 def _word(rng) -> str:
-    return "".join(rng.choice(_SYLLABLES, rng.integers(1, 5)))
+    return "".join([_SYLLABLES[i] for i in rng.integers(len(_SYLLABLES), size=rng.integers(1, 5)).tolist()])
 
 
 def _words(rng, low: int, high: int) -> str:

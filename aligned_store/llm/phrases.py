@@ -11,8 +11,9 @@ filled in either.
 
 Defined results: null and empty text have no names, a fingerprint of empty classes, and likeness 1 to
 each other. A document's next is the one after it by (doc_id, hash of the text), nulls first, and the
-first follows the last; so repeated rows follow each other, and a lone row follows itself. Extra columns
-are ignored.
+first follows the last; so repeated rows follow each other, and a lone row follows itself. Ids may be of any type
+that has an order. Extra columns are ignored. An empty table gives no rows. A text of any length is parsed
+whole, which takes some 60 bytes of a worker's memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lean_batches
+from ..sources.shared import local_frame
+from .common import lean_batches
 
 CLASSES, EMPTY, LEVELS = 64, 0xFF, (2, 3, 4)
+#: Rows for each range by which the ranges are cut.
+SAMPLE = 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 #: label of a symbol below 64 after one below 64
@@ -132,28 +136,30 @@ def _rows(chunk: list[tuple[object, str, str]]) -> dict[str, list]:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 18) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    Texts are shuffled once, to ranges of (doc_id, hash); the first document of each range also goes
-    to the range before it, as what follows its last. A task holds a chunk of texts at a time.
+    Texts are shuffled once, to ranges of (doc_id, hash, a random number); the first document of each range
+    also goes to the range before it, as what follows its last. The ranges are cut by a bounded sample of ids and
+    hashes, so neither one id nor one row repeated without end is left to one task. A task holds a chunk of texts
+    at a time.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    # ids alone settle the ranges; equal ids are in one range
-    cuts = docs.select(F.col(id_col).cast("long").alias("i")).agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10_000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    part = _search(least, cuts)
-    firsts = {r.p: r.i for r in base.select(least.alias("i"), part.alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect()}
+    # the number only tells equal rows apart, for which it doesn't matter which is which
+    keyed = base.select("doc_id", "text", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("r")).alias("k"))
+    marks = keyed.select("k").orderBy(F.xxhash64("k")).limit(SAMPLE * ranges).orderBy("k").collect()
+    kind = keyed.schema["k"].dataType
+    step = max(1, -(-len(marks) // ranges))
+    part = _search(F.col("k"), [F.lit(m.k.i).cast(kind["i"].dataType) for m in marks[step::step]], [(m.k.h, m.k.r) for m in marks[step::step]], kind)
+    placed = keyed.withColumn("p", part)
+    firsts = {r.p: r.k for r in placed.select("p", "k").groupBy("p").agg(F.min("k").alias("k")).collect()}
     order = sorted(firsts)
     # range -> the range before it, which needs its first document
-    heads = {firsts[p]: order[k - 1] for k, p in enumerate(order)}
-    placed = base.select("doc_id", "text", F.xxhash64("text").alias("h"), part.alias("p"), F.lit(False).alias("tail"))
-    head = F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]) if heads else F.lit(None).cast("map<bigint,int>")
-    same = cut(placed.where(least.isin(list(heads))).groupBy(least.alias("i")).agg(F.min("h").alias("h")), "heads") if heads else None
-    tails = placed.where(least.isin(list(heads)) if heads else F.lit(False))
-    if same is not None:  # one row for each range: of those with its least id, that of the least hash
-        tails = tails.withColumn("i", least).join(F.broadcast(same), ["i", "h"], "left_semi").withColumn("p", F.element_at(head, F.col("i"))).withColumn("tail", F.lit(True)).select("doc_id", "text", "h", "p", "tail")
-    dealt = placed.unionByName(tails).repartitionByRange(ranges, "p").sortWithinPartitions("p", "tail", "doc_id", "h")
+    heads = local_frame(spark, [(firsts[p].i, firsts[p].h, p, order[k - 1]) for k, p in enumerate(order)], T.StructType([kind["i"], kind["h"], T.StructField("own", T.IntegerType()), T.StructField("to", T.IntegerType())]))
+    # one row for each range at most, and of rows as its first any one
+    met = F.col("k.i").eqNullSafe(F.col("i")) & (F.col("k.h") == F.col("h"))
+    tails = keyed.join(F.broadcast(heads), met).select("doc_id", "text", "k", F.col("to").alias("p"), F.lit(True).alias("tail"))
+    tails = tails.groupBy("p", "tail").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("k").alias("k")).select("doc_id", "text", "k", "p", "tail")
+    dealt = placed.withColumn("tail", F.lit(False)).unionByName(tails).repartitionById(ranges, "p").sortWithinPartitions("p", "tail", "k")
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), *[T.StructField(n, t) for n, t in _OUT]])
     arrow = pa.schema([("doc_id", pa.null()), *[(n, {"n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}.get(n, pa.string())) for n, _ in _OUT]])
 
@@ -193,13 +199,14 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return dealt.mapInArrow(run, schema)
 
 
-def _search(value, cuts: list[int]):
-    """Binary search over sorted cuts as one nested expression: how many are at most ``value``."""
+def _search(key: Column, ids: list[Column], rest: list[tuple[int, int]], kind: T.StructType) -> Column:
+    """Binary search over sorted cuts as one nested expression: how many are at most ``key``. Null ids come first."""
+    cuts = [F.struct(i.alias("i"), F.lit(h).alias("h"), F.lit(r).alias("r")).cast(kind) for i, (h, r) in zip(ids, rest, strict=True)]
 
-    def tree(lo: int, hi: int):
+    def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(key >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(cuts))

@@ -8,7 +8,9 @@ scoring, which is exact.
 
 Defined results: null and empty text have no features and score as the bias says. Without training
 rows of both labels every score is the share of label 1 (1.0 without labels). Repeated rows are each
-scored; a document with several label rows counts once for each. Extra columns are never inputs.
+scored; a document with several label rows counts once for each label that it has. Ties at the threshold are
+predicted 1. An empty table gives no rows. Texts of any length are read whole, window by window. Extra columns
+are never inputs.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, map_batches, utf8, with_columns
+from .common import cut, fresh, held_out, map_batches, small_join, utf8, with_columns
 from .hashing import mean_scores
 from .samples import balanced, collect_features
 
 BITS, DIM, PER_LABEL, SAMPLE_ROWS, EPOCHS, BATCH, RATE = 15, 8, 1000, 2400, 10, 32, 0.08
-THRESHOLD = 0.3
+THRESHOLD, FLOOR = 0.3, 3e-3
 
 
 @dataclass
@@ -51,11 +53,12 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]
     labels = np.array([y for y, _, _ in rows])
     of = {y: counts.get(y, 1) / total / max(1, (labels == y).sum()) * len(rows) for y in (0, 1)}
     weight = np.array([of[y] for y in labels])
-    # buckets are scaled by how much they vary, so rare telling ones move as fast as common ones
+    # buckets are scaled by how much they vary, so rarer telling ones move as fast as common ones; the floor keeps
+    # the rarest, of which a short or stuttering text may be full, from outweighing what was learned
     scale = np.zeros(size)
     for _, b, v in rows:
         scale[b] += v * v
-    scale = 1 / np.sqrt(scale / len(rows) + 1e-7)
+    scale = np.where(scale > 0, 1 / np.sqrt(scale / len(rows) + FLOOR), 0.0)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
@@ -73,7 +76,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]
             wrong[np.arange(len(some)), y] -= 1
             wrong *= w[:, None] / len(some)
             back = wrong @ out.T
-            grads = [np.stack([np.bincount(buckets, back[who, d] * share, size) for d in range(dim)], 1) + 1e-6 * vectors, hidden.T @ wrong + 1e-4 * out, wrong.sum(0)]
+            grads = [np.stack([np.bincount(buckets, back[who, d] * share, size) for d in range(dim)], 1) + 1e-4 * vectors, hidden.T @ wrong + 1e-4 * out, wrong.sum(0)]
             for x, g, s in zip((vectors, out, bias), grads, seen, strict=True):
                 s += g * g
                 x -= rate * g / np.sqrt(s)
@@ -85,8 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on labelled rows that aren't held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"), modulus, remainder))
     some, counts = balanced(known, "y", "id", per_label)
-    # the sample of labels is bounded by its parameters (a hash share of each label), so it may be sent to all
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(some), "id")
+    # a hash share of each label; an id whose labels are repeated without end is one row in it
+    some = cut(some.select("id", "y").distinct(), "labels")
+    texts = small_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), some, ["id"], "inner")
     return train(collect_features(texts, "y", "t", "id", bits, sample_rows), counts, bits)
 
 

@@ -12,12 +12,14 @@ from .common import map_batches, utf8
 from .hashing import sparse
 
 
-def balanced(rows: DataFrame, label: str, key: str, per_label: int) -> tuple[DataFrame, dict]:
+def balanced(rows: DataFrame, label: str, key: str, per_label: int, labels: int = 200) -> tuple[DataFrame, dict]:
     """About ``per_label`` rows of each label, chosen by a hash of ``key``, and the count of each label in all rows.
 
-    One narrow aggregation and a filter: no row is shuffled. ``rows`` should be narrow up to here.
+    Of more than ``labels`` labels the most frequent are learned. One narrow aggregation and a filter: no row is
+    shuffled. ``rows`` should be narrow up to here.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    often = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels)
+    counts = {r[0]: r[1] for r in often.collect()}
     if not counts:
         return rows.limit(0), {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])

@@ -3,14 +3,19 @@
 A fingerprint is embedded as the bit counts of its 32 two-bit segments. Each count is kept in
 thermometer code (0, 1, 2 as 00, 01, 11), so the Manhattan distance of two embeddings is the bit count
 of their XOR. It never exceeds the Hamming distance, so pairs further apart than ``radius`` in it are
-no links. The segments are dealt to ``radius + 3`` groups; two embeddings within ``radius`` of each
-other agree in three groups at least, so every link shares one of the grid cells "these three
-groups' counts". A pair is reported in the first such cell alone, and only after the exact check.
+no links. The join is a range join on a grid: the segments are dealt to ``radius + k`` groups, and of two
+embeddings within ``radius`` of each other all but ``radius`` groups have a range of zero; so every link
+shares one of the grid cells "the counts of these k groups". A pair is reported in the first such cell alone,
+after the range condition on the whole embedding and the exact check. ``k`` grows with the number of
+fingerprints (:func:`agreeing`), and full cells go another way (:func:`connecting_links`); neither changes
+which rows are connected.
 
 Defined results: text without words has fingerprint zero and links like any other. Repeated rows give
 repeated result rows. A null id is no candidate for component_id (null if the component has no other).
-Fingerprints are made distinct before the join, so a group of exact copies is one row in it; no pair
-or candidate is dropped.
+Ids may be of any type that has an order; of equal ones any row may stand for them. Extra columns are
+ignored, or carried along by :func:`drop_near_duplicates`, whatever their names. An empty table gives no rows.
+Texts of any length are read whole, piece by piece. Fingerprints are made distinct before the join, so a group
+of exact copies is one row in it.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_batches, small_join, utf8, with_columns
-from .graph import components
+from .common import cut, fresh, lookup, map_batches, small_join, utf8, with_columns
+from .graph import ball, components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Fingerprints in a grid cell up to which they are compared in pairs.
+DENSE = 2000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -107,13 +114,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = 3) -> DataFrame:
-    """Distinct fingerprints (fp) -> pairs (a < b) at Hamming distance ``radius`` or less."""
+def agreeing(n: int, radius: int = RADIUS) -> int:
+    """How many groups of counts to ask agreement of, so that a grid cell holds about one of ``n`` scattered embeddings.
+
+    Any number finds all links; more of them make smaller cells, and more cells. An embedding holds about 1.5 bits
+    a segment. Beyond 8 groups (495 cells at radius 4) cells would cost more than the candidates they save.
+    """
+    return next((k for k in range(3, 8) if n <= 2 ** (48 * k / (k + radius))), 8)
+
+
+def _side(fps: DataFrame, radius: int, agree: int) -> tuple[DataFrame, list, list]:
+    """(fp, cell, at) of all grid cells of the fingerprints; the cells, and the masks of the groups."""
     groups = radius + agree
     masks = _group_masks(groups)
     cells = [(sum(1 << g for g in c), _signed(sum(masks[g] for g in c))) for c in combinations(range(groups), agree)]
     keys = F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col("e").bitwiseAND(F.lit(m)).alias("at")) for c, m in cells]))
     side = fps.select("fp", _embedding(F.col("fp")).alias("e")).select("fp", keys.alias("k")).select("fp", "k.cell", "k.at")
+    return side, cells, masks
+
+
+def linked_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = 3) -> DataFrame:
+    """Distinct fingerprints (fp) -> pairs (a < b) at Hamming distance ``radius`` or less."""
+    return _pairs(*_side(fps, radius, agree), radius)
+
+
+def _pairs(side: DataFrame, cells: list, masks: list, radius: int) -> DataFrame:
     left, right = side.alias("l"), side.alias("r")
     apart = _embedding(F.col("l.fp")).bitwiseXOR(_embedding(F.col("r.fp")))
     same = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << g).otherwise(0) for g, m in enumerate(masks)), F.lit(0))
@@ -123,44 +148,58 @@ def linked_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = 3) -> DataFr
     return left.join(right, match).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, **kw) -> DataFrame:
-    """(doc_id, fp, root: the smallest fingerprint of the component, component_id, n_links) of every row."""
-    members = cut(fingerprints(docs, id_col, text_col, **kw), "fingerprints")
-    distinct = cut(members.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = cut(linked_pairs(distinct.select("fp"), radius), "links")
+def connecting_links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """Distinct fingerprints (fp, a written table) -> links (a, b) within ``radius`` that connect whatever is linked.
+
+    Fingerprints that share no cell with more than ``dense`` others are compared in pairs. Where cells are fuller,
+    comparing all pairs would take the square of what is in them. Two fingerprints are within ``radius`` if and
+    only if some word is within half of it of both; so there each fingerprint is dealt to all words of its ball
+    (2,081 at radius 4), and linked to one representative in each, of which none holds more than 2,081. Such
+    links are few for each fingerprint however many share a cell, all are within ``radius``, and all that a pair
+    would have connected is connected.
+    """
+    side, cells, masks = _side(fps, radius, agreeing(fps.count(), radius))
+    full = cut(side.groupBy("cell", "at").count().where(F.col("count") > dense).drop("count"), "full")
+    if full.isEmpty():
+        return cut(_pairs(side, cells, masks, radius), "links")
+    light = _pairs(lookup(side, full.withColumn("full", F.lit(True)), ["cell", "at"]).where("full is null").select("fp", "cell", "at"), cells, masks, radius)
+    crowd = cut(lookup(side, full, ["cell", "at"], "inner").select("fp").distinct(), "crowd")
+    near, far = radius // 2, radius - radius // 2
+    words = crowd.select("fp", F.explode(ball(F.col("fp"), far)).alias("word"))
+    core = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("word"))) <= near, F.col("fp"))
+    met = words.groupBy("word").agg(F.min(core).alias("a"), F.collect_list("fp").alias("all")).where("a is not null and size(all) > 1")
+    star = met.select("a", F.explode("all").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a pair's first common cell may be a full one of which the other way knows; those in light cells stand as they are
+    return cut(light.unionByName(star), "links")
+
+
+def _rooted(prints: DataFrame, first: str, radius: int) -> DataFrame:
+    """Distinct fingerprints (fp, ``first``) -> (fp, best): the least ``first`` of the component, nulls aside."""
+    links = connecting_links(prints.select("fp"), radius)
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    named = cut(rooted.join(smallest, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
-    return members.join(named, "fp")
+    rooted = cut(prints.join(roots, "fp", "left").select("fp", first, F.coalesce("root", "fp").alias("root")), "rooted")
+    best = cut(rooted.groupBy("root").agg(F.min(first).alias("best")), "best")
+    return cut(lookup(rooted, best, ["root"], "inner").select("fp", "best"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest id reachable over links, n_links of the fingerprint)."""
-    return _members(docs, id_col, text_col, radius, **kw).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest id reachable over links)."""
+    members = cut(fingerprints(docs, id_col, text_col, **kw), "fingerprints")
+    prints = cut(members.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    named = lookup(members, _rooted(prints, "first", radius), ["fp"], "inner")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns unchanged.
+    """``docs`` with one row of each component, of those with its smallest id any one; columns unchanged.
 
-    An id may stand on rows with different texts: each is a row of its own component, and of rows of a component
-    with its smallest id one stays, of the smallest fingerprint. A null id stands for a hash of the text above all
-    usual ids.
+    Rows of null ids stay where a component has no other. Ids may be of any type that has an order. Rows are
+    numbered when they are written with their fingerprints, so rows that are equal in everything are told apart.
     """
-    key, print_ = fresh(docs.columns, "near_key"), fresh(docs.columns, "near_fp")
-    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.withColumn(key, own)
-    found = cut(_members(keyed, key, text_col, radius, **kw).select(F.col("doc_id").alias(key), F.col("fp").alias(print_), "root", "component_id"), "near")
-    again = cut(found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
-    gone = cut(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    if again.isEmpty():
-        kept = small_join(keyed, gone, [key], "left_anti")
-    else:  # rows of repeated ids are told apart by their fingerprints
-        first = found.where(F.col(key) == F.col("component_id")).groupBy("root").agg(F.min(F.struct(key, print_)).alias("first"))
-        stay = small_join(first.select("first.*"), again, [key], "left_semi")
-        single = small_join(small_join(keyed, again, [key], "left_anti"), gone, [key], "left_anti")
-        rows = _with_fingerprint(small_join(keyed, again, [key], "left_semi"), print_, text_col, **kw)
-        rows = small_join(rows, cut(stay, "stay"), [key, print_], "left_semi").dropDuplicates([key, print_])
-        kept = single.unionByName(rows.drop(print_))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    print_, row = fresh(docs.columns, "near_fp"), fresh(docs.columns, "near_row")
+    rows = cut(_with_fingerprint(docs, print_, text_col, **kw).withColumn(row, F.monotonically_increasing_id()), "rows")
+    first = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
+    prints = cut(rows.groupBy(F.col(print_).alias("fp")).agg(F.min(first).alias("first")), "distinct")
+    stay = _rooted(prints, "first", radius).select(F.col("best.row").alias(row)).distinct()
+    gone = cut(rows.select(row).join(stay, row, "left_anti"), "gone")
+    return small_join(rows, gone, [row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,9 @@ character, with crowded white space or with a special string goes to the library
 is the library's.
 
 Defined results: null text counts as empty and has no tokens. Repeated rows are counted each, and
-encoded once. A null id is only carried along. Extra columns are ignored.
+encoded once. Ids may be of any type and null; they are only carried along. An empty table gives no rows and
+leaves the cache as it is. Texts of any length are encoded whole, in packs of about a megabyte. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held, map_batches, scratch
+from ..sources.shared import local_frame
+from .common import cut, held, lookup, map_batches, scratch, small_join
 from .hashing import powers
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -41,6 +46,14 @@ _CLASS[48:58], _CLASS[[10, 32]], _CLASS[[39, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)
 _PIECE, _KEPT, _LONGEST = 1 << 20, 120_000, 64
 
 
+def _raw(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Table(dict):
     """Stretch of text -> its ids as bytes, or None where the library has to judge; in two generations of bounded size."""
 
@@ -50,10 +63,12 @@ class _Table(dict):
     def __missing__(self, stretch: bytes):
         value = self.old.get(stretch, self)
         if value is self:
-            text = stretch.decode()
-            value = None
-            if _PLAIN.fullmatch(text):
-                value = np.array([i for p in _PRETOKEN.findall(text) for i in self.piece(p.encode())], "<u4").tobytes()
+            if (stretch[1:] if stretch[:1] == b" " else stretch).isalpha():  # an ASCII word is one pre-token
+                value = _raw(self.piece(stretch))
+            elif _PLAIN.fullmatch(text := stretch.decode()):
+                value = _raw([i for p in _PRETOKEN.findall(text) for i in self.piece(p.encode())])
+            else:
+                value = None
         if len(stretch) <= _LONGEST:
             if len(self) >= _KEPT:
                 self.old = dict(self)
@@ -161,6 +176,13 @@ class Encoder:
                 total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
                 name = (total[np.append(first[1:], len(raw))] - total[first]) * down[first]
             _, index, inverse = np.unique(name, return_index=True, return_inverse=True)
+            long = np.diff(np.append(first, len(raw)))
+            # equal names aren't proof: each stretch is compared with the one that stands for it
+            same = long == long[index][inverse]
+            shift = np.repeat(first[index][inverse] - first, long)
+            there = np.minimum(np.arange(len(raw)) + shift, len(raw) - 1)
+            same &= np.add.reduceat(raw[there] != raw, first, dtype=np.int64) == 0
+            bad[first[~same]] = True
             ends, buffer = np.append(first[1:], len(raw))[index].tolist(), raw.tobytes()
             values = list(map(self.plain.__getitem__, [buffer[a:b] for a, b in zip(first[index].tolist(), ends, strict=True)]))
             unknown = np.fromiter((v is None for v in values), bool, len(values))
@@ -209,7 +231,11 @@ def version(path: str) -> str:
         return hashlib.sha256(name.encode() + hashlib.file_digest(f, "sha256").digest()).hexdigest()
 
 
-CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
+COUNTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+#: The cache is a Parquet table with a folder for each version, so another version's counts aren't read.
+CACHE = T.StructType([*COUNTS.fields, T.StructField("version", T.StringType())])
+#: Up to so many misses are sent to the texts.
+FEW_MISSES = 20_000
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, cache_path: str | None = None, normalise: Callable = lambda text: text) -> DataFrame:
@@ -224,17 +250,16 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     digest = F.unhex(F.sha2(F.col("text"), 256)).alias("digest")
-    # where a digest is found first: ids may be null, so they get a place of their own
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place")
+    # where a digest is found first, of ids of any type, null or not
+    place = F.xxhash64("doc_id").alias("place")
     keyed = cut(whole.select("doc_id", "n_bytes", digest, place), "digests")
     jvm, hadoop = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     there = jvm.org.apache.hadoop.fs.Path(cache_path)
-    known = spark.read.schema(CACHE).parquet(cache_path) if there.getFileSystem(hadoop).exists(there) else spark.createDataFrame([], CACHE)
-    known = known.where(F.col("version") == stamp)
+    known = _stored(spark, cache_path, stamp) if there.getFileSystem(hadoop).exists(there) else local_frame(spark, [], COUNTS)
     first = keyed.groupBy("digest").agg(F.min("place").alias("place"))
-    misses = first.join(known.select("digest"), "digest", "left_anti")
-    found = whole.select("text", digest, place).join(misses.hint("shuffle_hash"), ["digest", "place"], "left_semi")
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    misses = cut(first.join(known.select("digest"), "digest", "left_anti"), "misses")
+    # texts stay where they are while the misses are few, as with a warm cache; else they meet them in one shuffle
+    found = small_join(whole.select("text", digest, place), misses, ["digest", "place"], "left_semi", FEW_MISSES)
 
     def make():
         own = encoder(path)
@@ -244,8 +269,17 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         return step
 
-    encoded = map_batches(found.select("text", "digest"), make, schema)
+    encoded = map_batches(found.select("text", "digest"), make, COUNTS)
     # rows repeated under one id are encoded once each, and stored once
-    encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(stamp).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == stamp).select("digest", "n_tokens")
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(cache_path)
+    counts = lookup(keyed, _stored(spark, cache_path, stamp), ["digest"], "inner")
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _stored(spark: SparkSession, cache_path: str, stamp: str) -> DataFrame:
+    """The counts that the cache has for a tokenizer's version, one row for each digest.
+
+    Two writers, or one that was run again, may have stored a digest twice; their counts are equal.
+    """
+    of = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == stamp)
+    return of.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -1,24 +1,28 @@
 r"""WARC archives with revisit resolution.
 
-Headers alone are shuffled by payload digest; the record with the smallest page id of each digest is the
-response, the others are joined to it as revisits. The archives are then written with fresh headers, a
-revisit without its payload, and read back by a streaming reader.
+Headers alone (page id and digest) are shuffled by payload digest; the record with the smallest page id of each
+digest is the response, the others are joined to it as revisits. The archives are then written with fresh
+headers, a revisit without its payload, and read back by a streaming reader.
 
-Records go through Spark's own writer (its line separator is WARC's record end), so archives may live
-wherever Spark writes, only files of committed tasks count, and a lost executor costs its tasks.
+Records go through Spark's own writer and reader of lines, of which the end is WARC's record end, so archives may
+live wherever Spark writes, only files of committed tasks count, and a lost executor costs its tasks. A reading
+task holds one record at a time, however many an archive has.
 
 Defined results: null html is an empty payload; payloads shorter than ``min_bytes`` are all responses.
 Rows repeated under the smallest id of a digest are responses each. A null id never is a response
-that others refer to, unless all rows of its digest have none; then all of them are responses. A
-null url has no target header; control characters in a url are percent-encoded. Extra columns are
-ignored.
+that others refer to, unless all rows of its digest have none; then all of them are responses. Ids may be of
+any type that has an order; those that aren't numbers are percent-encoded in headers. A null url has no target
+header; control characters in a url are percent-encoded. Extra columns are ignored. An empty table writes no
+records. Payloads of any length are one record each.
+
+Scale: the digests that occur more than once meet the payloads by a broadcast while they are few (counted); beyond
+that payloads are shuffled once by digest, those of hot digests excepted (:func:`lookup`).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scratch
+from .common import cut, lean_batches, lookup, scratch
 
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -46,7 +50,7 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
     headers = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
     again = cut(headers, "revisits")
-    return rows.join(again, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
+    return lookup(rows, again, ["payload_digest"]).select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
 
 def _record(date: str) -> Column:
@@ -62,7 +66,7 @@ def _record(date: str) -> Column:
         line("WARC-Record-ID", name(F.col("page_id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(_PROFILE))), line("WARC-Refers-To", F.when(revisit, name(F.col("refers_to")))),
-        line("X-Page-Id", F.col("page_id")), line("X-Refers-To-Page-Id", F.col("refers_to")),
+        line("X-Page-Id", F.url_encode(F.col("page_id").cast("string"))), line("X-Refers-To-Page-Id", F.url_encode(F.col("refers_to").cast("string"))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
     return F.concat(head, block)
@@ -113,58 +117,49 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         buffer = buffer[want:]
 
 
-def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """A gzip stream of one member or more, piece by piece."""
-    while raw:
-        member = zlib.decompressobj(31)
-        while not member.eof:
-            piece = member.decompress(raw, step)
-            raw = member.unused_data if member.eof else member.unconsumed_tail
-            if piece:
-                yield piece
-            elif not raw and not member.eof:
-                raise ValueError("a gzip stream is cut short")
-
+_READ = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.StringType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()))])
 
-READ = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()))])
 
+def read_archives(spark, path: str, payloads: bool = True, id_type: T.DataType | None = None) -> DataFrame:
+    """The records under ``path``: a response's digest and length are taken from its payload, a revisit's from its headers.
 
-def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """The records under ``path``: a response's digest and length are taken from its payload, a revisit's from its headers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    A gzipped archive is read by one task from its begin, in lines that end as records do; the reader puts lines
+    together to records by their lengths. Ids are longs if no other type is given.
+    """
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary"))
+    lean_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
+        rows, size = [], 0
+        for fields, block in records(line + END.encode() for batch in batches for line in (x.as_py() for x in batch.column(0))):
+            http, _, payload = block.partition(b"\r\n\r\n")
+            kind = fields["warc-type"]
+            if kind == "response":
+                n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if fields["warc-payload-digest"] != f"sha1:{digest}":
+                    raise ValueError("a payload doesn't match its digest")
+            else:
+                n, digest = int(http.decode().rpartition("Content-Length: ")[2]), fields["warc-payload-digest"].removeprefix("sha1:")
+            rows.append((fields.get("x-page-id"), fields.get("warc-target-uri"), kind, n, digest, fields.get("x-refers-to-page-id"), payload if payloads and kind == "response" else None))
+            size += len(block) if payloads else 256
+            if size > 1 << 22:
+                yield _batch(rows)
                 rows, size = [], 0
-                for fields, block in records(_inflated(batch.column(0)[k].as_py())):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    kind = fields["warc-type"]
-                    if kind == "response":
-                        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if fields["warc-payload-digest"] != f"sha1:{digest}":
-                            raise ValueError("a payload doesn't match its digest")
-                    else:
-                        n, digest = int(http.decode().rpartition("Content-Length: ")[2]), fields["warc-payload-digest"].removeprefix("sha1:")
-                    number = lambda name: int(fields[name]) if name in fields else None  # noqa: E731, B023
-                    rows.append((number("x-page-id"), fields.get("warc-target-uri"), kind, n, digest, number("x-refers-to-page-id"), payload if payloads and kind == "response" else None))
-                    size += len(block)
-                    if size > 1 << 22:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    return files.mapInArrow(run, READ)
+        if rows:
+            yield _batch(rows)
+
+    own = lambda name: F.url_decode(name).cast(id_type or T.LongType()).alias(name)
+    return lines.mapInArrow(run, _READ).select(own("page_id"), "url", "record_type", "payload_bytes", "payload_digest", own("refers_to"), "payload")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=READ.names)
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_READ.names)
 
 
-def round_trip(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
+def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", **kw) -> DataFrame:
     """Write the pages' archives, read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     path = path or scratch(pages.sparkSession, "warc")
-    write_archives(pages, path, **kw)
-    return read_archives(pages.sparkSession, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(pages, path, id_col=id_col, **kw)
+    read = read_archives(pages.sparkSession, path, payloads=False, id_type=pages.schema[id_col].dataType)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
