@@ -41,15 +41,52 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean[:, 0] + self.bias, -40, 40)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> QualityModel:
+@dataclass
+class Network:
+    """Vectors of buckets, how they are scaled, and the linear map of their mean to the two labels."""
+
+    vectors: np.ndarray
+    scale: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+
+    def probabilities(self, some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, tuple]:
+        """documents x labels, of (buckets, shares) of each; and what the gradients need."""
+        who = np.repeat(np.arange(len(some)), [len(b) for b, _ in some])
+        buckets = np.concatenate([b for b, _ in some])
+        share = np.concatenate([v for _, v in some]) * self.scale[buckets] / 16
+        hidden = np.stack([np.bincount(who, self.vectors[buckets, d] * share, len(some)) for d in range(self.vectors.shape[1])], 1)
+        logits = hidden @ self.out + self.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True), (who, buckets, share, hidden)
+
+    def gradients(self, some: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean cross entropy, by vectors, map and bias."""
+        p, (who, buckets, share, hidden) = self.probabilities(some)
+        wrong = p.copy()
+        wrong[np.arange(len(some)), y] -= 1
+        wrong *= w[:, None] / len(some)
+        back = wrong @ self.out.T
+        size, dim = self.vectors.shape
+        return [np.stack([np.bincount(buckets, back[who, d] * share, size) for d in range(dim)], 1), hidden.T @ wrong, wrong.sum(0)]
+
+    def folded(self) -> QualityModel:
+        """One number for each bucket: the map is linear, so it may be applied to the vectors beforehand."""
+        return QualityModel((self.vectors @ (self.out[:, 1] - self.out[:, 0])) * self.scale / 16, float(self.bias[1] - self.bias[0]))
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int], bits: int = BITS, **kw) -> QualityModel:
     total = sum(counts.values())
     prior = (counts.get(1, 0) / total) if total else 1.0
     if len({y for y, _, _ in rows}) < 2:
         return QualityModel(np.zeros(1 << bits), float(np.clip(np.log((prior + 1e-9) / (1 - prior + 1e-9)), -20, 20)))
+    return learn(rows, counts, bits, **kw).folded()
+
+
+def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Network:
+    total = sum(counts.values())
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    vectors, out, bias = rng.normal(0, 0.3, (size, dim)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
-    seen = [np.full(x.shape, 1e-6) for x in (vectors, out, bias)]
     labels = np.array([y for y, _, _ in rows])
     of = {y: counts.get(y, 1) / total / max(1, (labels == y).sum()) * len(rows) for y in (0, 1)}
     weight = np.array([of[y] for y in labels])
@@ -59,29 +96,19 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]
     for _, b, v in rows:
         scale[b] += v * v
     scale = np.where(scale > 0, 1 / np.sqrt(scale / len(rows) + FLOOR), 0.0)
+    net = Network(rng.normal(0, 0.3, (size, dim)), scale, rng.normal(0, 0.3, (dim, 2)), np.zeros(2))
+    learned, decay = (net.vectors, net.out, net.bias), (1e-4, 1e-4, 0.0)
+    seen = [np.full(x.shape, 1e-6) for x in learned]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
-            some = [rows[i] for i in order[at : at + BATCH]]
-            y, w = labels[order[at : at + BATCH]], weight[order[at : at + BATCH]]
-            sizes = [len(b) for _, b, _ in some]
-            who = np.repeat(np.arange(len(some)), sizes)
-            buckets = np.concatenate([b for _, b, _ in some])
-            share = np.concatenate([v for _, _, v in some]) * scale[buckets] / 16
-            hidden = np.stack([np.bincount(who, vectors[buckets, d] * share, len(some)) for d in range(dim)], 1)
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            wrong = p.copy()
-            wrong[np.arange(len(some)), y] -= 1
-            wrong *= w[:, None] / len(some)
-            back = wrong @ out.T
-            grads = [np.stack([np.bincount(buckets, back[who, d] * share, size) for d in range(dim)], 1) + 1e-4 * vectors, hidden.T @ wrong + 1e-4 * out, wrong.sum(0)]
-            for x, g, s in zip((vectors, out, bias), grads, seen, strict=True):
+            part = order[at : at + BATCH]
+            grads = net.gradients([rows[i][1:] for i in part], labels[part], weight[part])
+            for x, g, s, d in zip(learned, grads, seen, decay, strict=True):
+                g = g + d * x
                 s += g * g
                 x -= rate * g / np.sqrt(s)
-    folded = (vectors @ (out[:, 1] - out[:, 0])) * scale / 16
-    return QualityModel(folded, float(bias[1] - bias[0]))
+    return net
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, remainder: int = 0, bits: int = BITS, per_label: int = PER_LABEL, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
