@@ -7,6 +7,7 @@ import json
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,14 @@ from .operators.deltas import Deltas, index_deltas, preprocess, replaced, upsert
 from .operators.reading import align, between
 from .plans.catalog import by_table, last_updated, latest_per_feature
 from .plans.transactions import transaction
-from .sources.shared import local_frame
+from .sources.shared import local_frame, spark_frame, spark_schema, wider
 from .sources.table_io import ParquetTableIO, TableIO, codec
 
 FrameModifier = Callable[[DataFrame], DataFrame]
 
 
 def no_op_modifier(df: DataFrame) -> DataFrame:
+    """What :meth:`FeatureLake.read` applies to its result if nothing else is given."""
     return df
 
 
@@ -78,7 +80,11 @@ class FeatureLake(BaseFeatureLake):
         self.keys, self.index_schema = schema.fieldNames(), schema
 
     def initialize(self, schema: T.StructType = S.DEFAULT_INDEX) -> FeatureLake:
-        """Create the system tables that are missing. An existing index must have the same schema."""
+        """Create the system tables that are missing. An existing index must have the same schema.
+
+        The schema may also be an Arrow schema.
+        """
+        schema = spark_schema(schema)
         if self.primary not in schema.fieldNames():
             raise ValueError(f"the primary sort key {self.primary!r} is not among {schema.fieldNames()}")
         if self.io.exists(self.index):
@@ -114,8 +120,11 @@ class FeatureLake(BaseFeatureLake):
         self.ensure_initialized()
         return between(self.io.scan(self.index, ranges={self.primary: (start, end)}), self.primary, start, end)
 
-    def feature_metadata_frame(self) -> DataFrame:
+    def feature_metadata_frame(self, start=None, end=None) -> DataFrame:
+        """All feature rows. They have no sort key, so bounds can't apply and are refused."""
         self.ensure_initialized()
+        if start is not None or end is not None:
+            raise ValueError("feature metadata has no sort key that start and end could bound")
         return self.io.scan(self.feature_metadata)
 
     def table_metadata_frame(self, start=None, end=None) -> DataFrame:
@@ -145,6 +154,7 @@ class FeatureLake(BaseFeatureLake):
     def add_index_rows(self, df: DataFrame) -> None:
         """Extend the index by keys; every group reads as null there."""
         self.ensure_initialized()
+        df = spark_frame(self.spark, df)
         with transaction(self, "missing_owner", "index") as touched:
             rows, files = self._staged(df.select(*self.keys))
             self._extend_index(rows, files, self._deltas(rows, files), touched)
@@ -155,8 +165,7 @@ class FeatureLake(BaseFeatureLake):
         rest = [c for c in df.columns if c not in self.keys]
         cast = df.select(*[F.col(f"`{k}`").cast(self.index_schema[k].dataType).alias(k) for k in self.keys], *[F.col(f"`{c}`") for c in rest])
         clean = preprocess(cast, self.keys)
-        order = [self.primary, *[k for k in self.keys if k != self.primary]]
-        files = self.io.stage(clean.repartitionByRange(*order).sortWithinPartitions(*order), self.keys)
+        files = self.io.stage(self._ordered(clean), self.keys)
         files = [f for f in files if f["rows"]]
         if not files:
             raise ValueError("Provided dataframe has no rows!")
@@ -171,8 +180,7 @@ class FeatureLake(BaseFeatureLake):
             raise ValueError(f"sort keys are missing: {', '.join(missing)}")
 
     def _deltas(self, rows: DataFrame, files: list[dict]) -> Deltas:
-        known = None not in [f["min"].get(self.primary) for f in files]
-        low, high = (min(f["min"][self.primary] for f in files), max(f["max"][self.primary] for f in files)) if known else (None, None)
+        low, high = self.io.range_of(files, self.primary, self.index_schema[self.primary].dataType)
         return index_deltas(rows, self.io.scan(self.index, ranges={self.primary: (low, high)}), self.keys, self.primary)
 
     def _extend_index(self, rows: DataFrame, files: list[dict], d: Deltas, touched) -> None:
@@ -186,13 +194,14 @@ class FeatureLake(BaseFeatureLake):
         self.ensure_initialized()
         if overlap_mode not in ("copy", "merge"):
             raise ValueError(f"overlap_mode {overlap_mode!r} is neither copy nor merge")
+        df = spark_frame(self.spark, df)
         self._check_keys(df)
         columns = [c for c in df.columns if c not in self.keys]
         if not columns:
             raise ValueError("there are no feature columns")
-        if df.isEmpty():
-            raise ValueError("Provided dataframe has no rows!")
-        # metadata= only says which tables need no alignment rows; reads align by key here, so none are stored
+        # metadata= says which tables need no alignment rows; reads align by key here, so none are stored for any
+        if metadata is not None and "table_addr" not in metadata.columns:
+            raise ValueError("metadata= must be rows of the feature metadata, with their table_addr")
         latest = latest_per_feature(self.feature_metadata_frame().collect())
         if taken := [c for c in columns if c in latest and latest[c].signal_type == S.RUNTIME]:
             raise ValueError(f"registered as runtime features: {', '.join(taken)}")
@@ -236,20 +245,28 @@ class FeatureLake(BaseFeatureLake):
             whole = replaced(old, mine, self.keys, self.primary, own, d.low, d.high)
             if signal_type == S.SPARSE:
                 whole = without_empty(whole, self.keys)
-        order = [self.primary, *[k for k in self.keys if k != self.primary]]
-        whole = whole.repartitionByRange(*order).sortWithinPartitions(*order)
-        self.io.write(whole, touched(table), "overwrite", self.keys)
+        self.io.write(self._ordered(whole), touched(table), "overwrite", self.keys)
         return table, [(c, latest[c].version + 1) for c in own]
 
     def _list(self, table: str, mine: DataFrame, files: list[dict], kind: T.StructType, signal_type: str, touched) -> None:
         if self.io.exists(table):
             there = {f.name: f.dataType for f in self.io.schema(table)}
-            if any(f.name in there and there[f.name] != f.dataType for f in kind):  # files must have the table's types
-                mine = mine.select(*[F.col(f"`{f.name}`").cast(there.get(f.name, f.dataType)).alias(f.name) for f in kind])
-                self.io.write(mine, touched(table), "append", self.keys)
+            if changed := {f.name: wider(self.spark, f.name, there[f.name], f.dataType) for f in kind if f.name in there and there[f.name] != f.dataType}:
+                mine = mine.select(*[F.col(f"`{f.name}`").cast(changed.get(f.name, f.dataType)).alias(f.name) for f in kind])
+                if all(there[n] == t for n, t in changed.items()):  # the table holds such values already
+                    self.io.write(mine, touched(table), "append", self.keys)
+                else:  # its files are rewritten in the wider type
+                    old = self.io.scan(table)
+                    old = old.select(*[F.col(f"`{c}`").cast(changed[c]).alias(c) if c in changed else F.col(f"`{c}`") for c in old.columns])
+                    self.io.write(self._ordered(old.unionByName(mine, allowMissingColumns=True)), touched(table), "overwrite", self.keys)
                 return
         self.io.commit(touched(table), files, kind, "append")
 
+    def _ordered(self, df: DataFrame) -> DataFrame:
+        """Laid out by range of the keys, so that ranges of the primary key prune files."""
+        order = [self.primary, *[k for k in self.keys if k != self.primary]]
+        return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
     def _publish(self, tables: list[tuple], features: list[tuple], touched) -> None:
         """One commit for each metadata table, after the data."""
         now = dt.datetime.now(dt.UTC)
@@ -258,6 +275,18 @@ class FeatureLake(BaseFeatureLake):
             if rows:
                 self.io.write(local_frame(self.spark, rows, schema), touched(target))
 
+    def compact(self, features: list[str] | None = None) -> dict[str, int]:
+        """Join the small files of system tables, and of the tables of features (all if none are named).
+
+        How many files were joined, by table. Nothing that is read changes, and older versions stay readable.
+        """
+        self.ensure_initialized()
+        rows = self.feature_metadata_frame().collect()
+        tables = dict.fromkeys(r.table_addr for r in rows if r.table_addr != S.NO_TABLE and (features is None or r.feature_name in features))
+        order = [self.primary, *[k for k in self.keys if k != self.primary]]
+        done = {t: self.io.compact(t, order) for t in (self.index, *tables)}
+        return done | {t: self.io.compact(t) for t in (self.feature_metadata, self.table_metadata, self.transaction_log)}
+
     def consolidate_feature_groups(self, features: list[str]) -> str | None:
         """Bring dense features of several tables into one; its address, or None if they are in one already."""
         self.ensure_initialized()
@@ -311,12 +340,16 @@ class FeatureLake(BaseFeatureLake):
 
     # reading
 
-    def read(self, features, targets: list[str] | None = None, start=None, end=None, materialized: bool = True, strict: bool = False) -> DataFrame:
+    def read(self, features, targets: list[str] | None = None, start=None, end=None, materialized: bool = True, strict: bool = False, modifier: FrameModifier = no_op_modifier) -> DataFrame:
         """Features as one wide frame, keyed by the index in [start, end] and sorted by its keys.
 
         ``features`` is a list of names (latest versions) or a metadata frame (pinned rows). The result is
-        lazy in either case; ``materialized=False`` leaves out the sort, as further plans may follow.
+        lazy in either case; ``materialized=False`` leaves out the sort, as further plans may follow. ``modifier``
+        is applied to the result.
         """
+        return self._asked(features, targets, start, end, materialized, strict).transform(modifier)
+
+    def _asked(self, features, targets, start, end, materialized: bool, strict: bool) -> DataFrame:
         self.ensure_initialized()
         if isinstance(features, DataFrame):
             picked = features.collect()
@@ -360,9 +393,27 @@ class FeatureLake(BaseFeatureLake):
         return df.orderBy(*self.keys) if materialized else df
 
     def _assemble(self, rows: list, start, end) -> DataFrame:
-        """The bounded index, left-joined by key to each group, of which only asked columns and ranges are read."""
-        df = self.index_frame(start, end)
-        for (addr, signal_type, params), own in by_table(rows).items():
+        """The bounded index with each group's features, of which only asked columns and ranges are read.
+
+        Groups are left-joined by key, but for what one of them holds in files that it shares with the index:
+        there each index row stands with its values, and is read as it is.
+        """
+        groups = list(by_table(rows).items())
+        near, far = [g for g in groups if g[0][1] != S.AS_OF], [g for g in groups if g[0][1] == S.AS_OF]
+        df = None
+        if near:
+            (addr, *_), own = near[0]
+            names = [F.col(f"`{r.feature_name}`") for r in own]
+            clip = lambda x: between(x, self.primary, start, end)
+            common, index, rest = self.io.split(self.index, addr, {self.primary: (start, end)})
+            parts = [] if common is None else [clip(common).select(*self.keys, *names)]
+            if index is not None:
+                parts.append(clip(index).join(clip(rest).select(*self.keys, *names), self.keys, "left"))
+            df = reduce(DataFrame.unionByName, parts) if parts else None
+            near = near[1:] if parts else near
+        if df is None:
+            df = self.index_frame(start, end)
+        for (addr, signal_type, params), own in (*near, *far):
 
             def scan(low, high, addr=addr):
                 return between(self.io.scan(addr, ranges={self.primary: (low, high)}), self.primary, low, high)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import DAY_US, whole
+
 STRATEGIES = ("backward", "forward", "nearest")
 #: Groups of more rows than this, of both sides together, are split.
 HOT_ROWS = 2_000_000
@@ -32,10 +34,8 @@ def tolerance_of(value, kind: T.DataType):
 def distance(a: Column, b: Column, kind: T.DataType) -> Column:
     """``a - b``: in microseconds for times."""
     if isinstance(kind, T.DateType):
-        return F.datediff(a, b).cast("long") * F.lit(86400 * 10**6)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
-    return a - b
+        return F.datediff(a, b).cast("long") * F.lit(DAY_US)
+    return whole(a, kind) - whole(b, kind)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values: list[str], strategy: str = "backward", tolerance=None, allow_exact_matches: bool = True, rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -23,7 +23,6 @@ class Deltas:
     new_rows: int
     low: object
     high: object
-    new_low: object
     new: DataFrame
 
 
@@ -32,8 +31,8 @@ def index_deltas(df: DataFrame, index: DataFrame, keys: list[str], primary: str)
     known = index.select(*keys, F.lit(True).alias("_known"))
     marked = df.select(*keys).join(known, keys, "left")
     new = F.col("_known").isNull()
-    r = marked.agg(F.count("*").alias("n"), F.count_if(new).alias("m"), F.min(primary).alias("lo"), F.max(primary).alias("hi"), F.min(F.when(new, F.col(primary))).alias("new_lo")).first()
-    return Deltas(r.n, r.m, r.lo, r.hi, r.new_lo, df.select(*keys).join(index.select(*keys), keys, "left_anti"))
+    r = marked.agg(F.count("*").alias("n"), F.count_if(new).alias("m"), F.min(primary).alias("lo"), F.max(primary).alias("hi")).first()
+    return Deltas(r.n, r.m, r.lo, r.hi, df.select(*keys).join(index.select(*keys), keys, "left_anti"))
 
 
 def replaced(old: DataFrame, df: DataFrame, keys: list[str], primary: str, columns: list[str], low, high) -> DataFrame:

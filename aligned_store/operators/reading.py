@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import AS_OF
+from ..sources.shared import literal
 from .asof import STRATEGIES, as_of_join
 
 
 def between(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
     """Inclusive range filter; each bound is optional."""
     if start is not None:
-        df = df.where(F.col(f"`{column}`") >= F.lit(start))
+        df = df.where(F.col(f"`{column}`") >= literal(start, df.schema[column].dataType))
     if end is not None:
-        df = df.where(F.col(f"`{column}`") <= F.lit(end))
+        df = df.where(F.col(f"`{column}`") <= literal(end, df.schema[column].dataType))
     return df
 
 

@@ -7,9 +7,11 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +45,71 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     shape = to_arrow_schema(schema)
     columns = [pa.array([value(i, r[i]) for r in rows], f.type) for i, f in enumerate(shape)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=shape), schema)
+
+
+DAY_US = 86_400 * 10**6
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+
+
+def whole(column: Column, kind: T.DataType) -> Column:
+    """A date or time as a whole number that no time zone enters into: days, or microseconds since 1970.
+
+    A time without a zone counts as if it were in UTC. Other types are left as they are.
+    """
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.unix_date(column.cast("date")).cast("long") * F.lit(DAY_US)
+        clock = F.hour(column) * F.lit(3600) + F.minute(column) * F.lit(60)
+        return day + clock.cast("long") * F.lit(10**6) + (F.extract(F.lit("SECOND"), column) * F.lit(10**6)).cast("long")
+    return column
+
+
+def micros(x: dt.datetime) -> int:
+    """Microseconds since 1970; a time without a zone is in this process's."""
+    return (x.astimezone(dt.UTC) - _EPOCH) // dt.timedelta(microseconds=1)
+
+
+def literal(value, kind: T.DataType) -> Column:
+    """A bound as a column of the key's type.
+
+    A naive ``datetime`` is a wall clock for keys without a zone; for keys with one it is in this process's zone, as
+    everywhere in PySpark. One with a zone is a moment; for keys without a zone it is read in the session's.
+    """
+    if isinstance(value, dt.datetime):
+        if isinstance(kind, T.TimestampNTZType) and value.tzinfo is None:
+            return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+        value = value if value.tzinfo else value.astimezone()
+        return F.lit(value).cast("timestamp_ntz") if isinstance(kind, T.TimestampNTZType) else F.lit(value)
+    if isinstance(value, str) and isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(value).cast(kind)
+    return F.lit(value)
+
+
+def spark_schema(schema) -> T.StructType:
+    """A Spark schema, of an Arrow schema too."""
+    return from_arrow_schema(schema) if isinstance(schema, pa.Schema) else schema
+
+
+def spark_frame(spark: SparkSession, df) -> DataFrame:
+    """A DataFrame, of an Arrow table or record batch or a pandas frame too; these are held by the driver."""
+    if isinstance(df, DataFrame):
+        return df
+    if isinstance(df, pa.RecordBatch):
+        df = pa.Table.from_batches([df])
+    if isinstance(df, pa.Table) or type(df).__module__.partition(".")[0] == "pandas":
+        return spark.createDataFrame(df)
+    raise TypeError(f"a DataFrame, an Arrow table or a pandas frame is wanted, not {type(df).__name__}")
+
+
+def wider(spark: SparkSession, name: str, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds values of both, as a union of them has it; text and other kinds don't mix."""
+    if isinstance(a, T.StringType) != isinstance(b, T.StringType):
+        raise TypeError(f"{name} is {a.simpleString()} in the lake and {b.simpleString()} here")
+    frame = lambda kind: local_frame(spark, [], T.StructType([T.StructField("x", kind)]))
+    try:
+        return frame(a).union(frame(b)).schema["x"].dataType
+    except AnalysisException as e:
+        raise TypeError(f"{name} is {a.simpleString()} in the lake and {b.simpleString()} here") from e
