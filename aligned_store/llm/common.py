@@ -58,11 +58,13 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+#: A side of :func:`lookup` is sent to all tasks up to so many rows, which are about a megabyte.
+FEW_ROWS = 20_000
 #: Keys that hold more than this share of the rows of a join are met one by one; there are no more of them than its inverse.
 HOT_SHARE = 1 / 2048
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = FEW_ROWS) -> DataFrame:
     """Join rows to a side with one row for each key, so that no hot key's rows meet in one task.
 
     A right side of ``limit`` narrow rows at most is sent to all tasks. Beyond that, the keys that hold more than

@@ -433,7 +433,7 @@ def test_packing_other_ids_and_repeated_rows(spark):
 def test_archives_of_other_ids_and_without_broadcasts(spark, monkeypatch):
     pages = [("p 2", "u", "<p>same</p>"), ("p 1", "u", "<p>same</p>"), ("é\r\n", None, None), ("zz", "u", ""), (None, "u", "x"), ("big", "u", "\r\n\r\n" * 5000 + "\r\r\n\r\n\r" + "é" * 100_000), ("line", "u", " \x85a\rb\nc")]
     df = frame(spark, [(*r, "clash") for r in pages], "page_id string, url string, html string, payload string")
-    for limit in (common.BROADCAST_ROWS, 0):
+    for limit in (common.FEW_ROWS, 0):
         monkeypatch.setattr(common.lookup, "__defaults__", ("left", limit))
         got = {r.page_id: r for r in warc.round_trip(df).collect()}
         assert set(got) == {r[0] for r in pages}
