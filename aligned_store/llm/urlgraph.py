@@ -136,12 +136,12 @@ def propagate(links: DataFrame, seeds: DataFrame, family: bool = False, damping:
     if rounds is None and not 0 <= damping < 1:
         raise ValueError("ranks converge only at a damping of 0 or more and less than 1")
     edges = links.unionByName(_family(seeds.select("host"))) if family else links
-    edges = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    edges = cut(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
     both = edges.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), "src", "dst", "w"), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))).alias("e")).select("e.*")
     out = both.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     # a hub's edges are in several parts, each with its own copy of what the hub sends out
     part = F.pmod(F.xxhash64("dst"), F.lit(HUB_PARTS)).cast("int").alias("part")
-    shares = lookup(cut(both, "both"), cut(out, "sums"), ["kind", "src"], "inner")
+    shares = lookup(both, cut(out, "sums"), ["kind", "src"], "inner")
     steps = cut(shares.select(F.col("kind").alias("of"), "src", part, "dst", (F.col("w") / F.col("all")).alias("share")), "edges")
     parts = cut(steps.select("of", "src", "part").distinct(), "parts")
     mass = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
