@@ -113,11 +113,12 @@ def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, remainder: int = 0, bits: int = BITS, per_label: int = PER_LABEL, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Train on labelled rows that aren't held out."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"), modulus, remainder))
+    # ids are compared as text, of whatever types they are
+    known = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"), modulus, remainder))
     some, counts = balanced(known, "y", "id", per_label)
     # a hash share of each label; an id whose labels are repeated without end is one row in it
     some = cut(some.select("id", "y").distinct(), "labels")
-    texts = small_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), some, ["id"], "inner")
+    texts = small_join(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")), some, ["id"], "inner")
     return train(collect_features(texts, "y", "t", "id", bits, sample_rows), counts, bits)
 
 
