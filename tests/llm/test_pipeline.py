@@ -31,3 +31,35 @@ def test_stages(spark, tmp_path):
     assert len(fourth) >= 119
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(fourth)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(6)
+    stock = [f"{a}{b}" for a in ("the", "an", "ing", "er") for b in ("sh", "ou", "ti", "ea", "nd")]
+    sentence = lambda n: " ".join(rng.choice(stock) for _ in range(n))
+    passage = sentence(12)
+    good = [sentence(50) for _ in range(12)]
+    rows = [(f"d{i:02d}", t) for i, t in enumerate(good)]
+    rows += [("d00", good[0]), ("d00", sentence(50)), (None, sentence(50)), ("nul", None), ("emp", ""), ("bad", "12 %% 34"), ("dirty", sentence(40) + " " + passage), ("whole", passage), ("long", "word " + sentence(60_000))]
+    schema = "doc_id string, text string, lang string, source string, n_chars long, score int, near_fp int, spans int, bucket int, lang_pred int"
+    spark.createDataFrame([(i, t, "en" if k % 2 else None, None, None, 1, 2, 3, 4, 5) for k, (i, t) in enumerate(rows)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, seen = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns and empty.columns == columns
+            seen.append(docs.collect())
+    ids = [sorted(str(r.doc_id) for r in some) for some in seen]
+    assert len(ids[0]) == len(rows)  # without labels nothing is rejected
+    assert sorted(set(ids[0]) - set(ids[1])) == ["bad", "emp", "nul"]
+    assert ids[2].count("d00") == 2 and len(ids[2]) == len(ids[1]) - 1
+    assert set(ids[2]) - set(ids[3]) == {"whole"}
+    assert all(passage not in r.text for r in seen[3])
+    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in seen[3]}
+    assert docs.where("doc_id = 'long'").count() > 50
