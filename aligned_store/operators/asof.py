@@ -18,6 +18,8 @@ from ..sources.shared import DAY_US, whole
 STRATEGIES = ("backward", "forward", "nearest")
 #: Groups of more rows than this, of both sides together, are split.
 HOT_ROWS = 2_000_000
+#: Into so many blocks (a power of two).
+BLOCKS = 256
 _UNITS = {"ns": 1e-3, "us": 1, "ms": 10**3, "s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86400 * 10**6, "w": 7 * 86400 * 10**6}
 
 
@@ -84,15 +86,19 @@ def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values:
 def blocks(both: DataFrame, p: str, by: list[str], kind: T.DataType, hot_rows: int) -> DataFrame:
     """With _block, and for the blocks of hot groups the nearest right rows _before and _after the block.
 
-    Blocks are of equal width of ``p``, four for each ``hot_rows`` rows, so equal ``p`` are in one. No side is
-    hinted as small: the tables of hot groups and blocks have a row for ``hot_rows / 4`` rows at most, and
-    adaptive execution sees their size.
+    A hot group's blocks are cut at ``BLOCKS`` quantiles of its ``p``, so they hold about as many rows each, however
+    crowded; rows of equal ``p`` are in one. No side is hinted as small: the tables of hot groups and blocks
+    have ``BLOCKS`` rows for ``hot_rows`` rows at most, and adaptive execution sees their size.
     """
-    sizes = both.groupBy(*by).agg(F.count("*").alias("_n"), F.min(p).alias("_lo"), F.max(p).alias("_hi")).where(F.col("_n") > hot_rows)
-    reach, at = distance(F.col("_hi"), F.col("_lo"), kind).cast("double"), distance(F.col(p), F.col("_lo"), kind).cast("double")
-    count = F.ceil(F.col("_n") * 4 / F.lit(hot_rows))
-    block = F.coalesce(F.when(reach > 0, F.least(F.floor(at / reach * count), count - 1)), F.lit(0)).cast("long")
-    tagged = _left_join(both, sizes, by).withColumn("_block", block).withColumn("_hot", F.col("_n").isNotNull()).drop("_n", "_lo", "_hi")
+    hot = both.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    value = whole(F.col(p), kind)
+    cuts = F.percentile_approx(value, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)
+    sizes = _left_join(both, hot, by).where("_n is not null").groupBy(*by).agg(cuts.alias("_cuts"))
+    steps = [BLOCKS >> k for k in range(1, BLOCKS.bit_length())]
+    # binary search: how many cuts are at most the value
+    at = lambda n, step: n + F.when(F.element_at("_cuts", n + step) <= value, step).otherwise(0)
+    block = F.when(F.col("_cuts").isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), at)).otherwise(0).cast("long")
+    tagged = _left_join(both, sizes, by).withColumn("_block", block).withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts")
     when = F.when(~F.col("_left"), F.col(p))
     ends = tagged.where("_hot").groupBy(*by, "_block").agg(F.max_by("_right", when).alias("_newest"), F.min_by("_right", when).alias("_oldest"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
