@@ -296,7 +296,7 @@ def test_widening_and_refused_types(spark, lake):
     assert (9, "a") not in values(lake.read(["x"]), "x")
 
 
-@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo", "UTC"])
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
 @pytest.mark.parametrize("kind", [T.TimestampType(), T.TimestampNTZType(), T.DateType()])
 def test_ranges_keep_their_rows_in_any_zone(spark, tmp_path, monkeypatch, zone, kind):
     monkeypatch.setenv("TZ", zone)
@@ -311,14 +311,13 @@ def test_ranges_keep_their_rows_in_any_zone(spark, tmp_path, monkeypatch, zone,
             lake.add_features(spark.createDataFrame([(t, i)], T.StructType([T.StructField("t", kind), T.StructField("x", L)])))
         everything = lake.read(["x"]).collect()
         assert len(everything) == len(set(times))
-        for low in times:
-            for high in times:
-                bounds = [(low, high)]
-                if isinstance(kind, T.TimestampType):
-                    bounds += [(low.astimezone().replace(tzinfo=None), high.astimezone(dt.timezone(dt.timedelta(hours=5))))]
-                for a, b in bounds:
-                    want = [i for i, t in enumerate(dict.fromkeys(times)) if low <= t <= high]
-                    assert sorted(r.x for r in lake.read(["x"], start=a, end=b).collect()) == want
+        for low, high in ((times[0], times[0]), (times[1], times[2]), (times[2], times[3])):
+            bounds = [(low, high)]
+            if isinstance(kind, T.TimestampType):
+                bounds += [(low.astimezone().replace(tzinfo=None), high.astimezone(dt.timezone(dt.timedelta(hours=5))))]
+            want = [i for i, t in enumerate(dict.fromkeys(times)) if low <= t <= high]
+            for a, b in bounds:
+                assert sorted(r.x for r in lake.read(["x"], start=a, end=b, materialized=False).collect()) == want
         if not isinstance(kind, T.TimestampType):
             assert [r.x for r in lake.read(["x"], start=str(times[-1])).collect()] == [len(set(times)) - 1]
     finally:
