@@ -284,8 +284,7 @@ class FeatureLake(BaseFeatureLake):
         rows = self.feature_metadata_frame().collect()
         tables = dict.fromkeys(r.table_addr for r in rows if r.table_addr != S.NO_TABLE and (features is None or r.feature_name in features))
         order = [self.primary, *[k for k in self.keys if k != self.primary]]
-        done = {t: self.io.compact(t, order) for t in (self.index, *tables)}
-        return done | {t: self.io.compact(t) for t in (self.feature_metadata, self.table_metadata, self.transaction_log)}
+        return self.io.compact([self.index, *tables], order) | self.io.compact([self.feature_metadata, self.table_metadata, self.transaction_log])
 
     def consolidate_feature_groups(self, features: list[str]) -> str | None:
         """Bring dense features of several tables into one; its address, or None if they are in one already."""

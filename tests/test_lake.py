@@ -361,6 +361,8 @@ def test_file_sizes_compaction_and_vacuum(spark, tmp_path):
     assert done[addr] >= 6 and len(lake.io.files(addr, lake.io.snapshot(addr))) < len(big) + 6
     assert len(lake.io.files(lake.transaction_log, lake.io.snapshot(lake.transaction_log))) == 1
     assert values(lake.read(["x"]), "x") == want
+    # index and group share the joined files too
+    assert "Join" not in lake.read(["x"], materialized=False)._jdf.queryExecution().executedPlan().toString()
     assert lake.io.vacuum(dt.datetime.now(dt.UTC) + dt.timedelta(hours=1)) > 0
     assert values(lake.read(["x"]), "x") == want
 
