@@ -54,13 +54,22 @@ PATHS, WORDS, DIM, HIDDEN, NUMBERS = 256, 256, 12, 12, 5
 
 
 class Step:
-    """An open element: its names, and the path above it. Blocks share their paths, which thus take no more than the tags."""
+    """An open element: its names, and the path above it. Blocks share their paths, which thus take no more than the tags.
 
-    __slots__ = ("above", "names", "size", "sum", "tag")
+    Under one root, which stands for the page itself, equal paths are one, over several pages too.
+    """
 
-    def __init__(self, tag: str, names: tuple[str, ...], above: Step | None):
+    __slots__ = ("above", "below", "mean", "names", "of", "size", "sum", "tag")
+
+    def __init__(self, tag: str = "", names: tuple[str, ...] = (), above: Step | None = None):
         self.tag, self.names, self.above = tag, names, above
-        self.size, self.sum = len(names) + (above.size if above else 0), None
+        self.size, self.sum, self.mean, self.of = len(names) + (above.size if above else 0), None, None, None
+        self.below: dict[tuple[str, ...], Step] = {}
+
+    def enter(self, names: tuple[str, ...]) -> Step:
+        if (step := self.below.get(names)) is None:
+            step = self.below[names] = Step(names[0], names, self)
+        return step
 
     def path(self) -> list[str]:
         parts, at = [], self
@@ -70,30 +79,34 @@ class Step:
         return [n for names in reversed(parts) for n in names]
 
     def vector(self, table: np.ndarray) -> np.ndarray:
-        """The sum of the rows of ``table`` that the path's names have, kept for the paths below."""
+        """The mean of the rows of ``table`` that the path's names have; it and the sums are kept, for that table."""
+        if self.mean is not None and self.of is table:
+            return self.mean
         todo, at = [], self
-        while at is not None and at.sum is None:
+        while at is not None and (at.sum is None or at.of is not table):
             todo.append(at)
             at = at.above
         for step in reversed(todo):
             above = 0 if step.above is None else step.above.sum
-            step.sum = above + table[[zlib.crc32(x.encode()) % PATHS for x in step.names]].sum(0, dtype=np.float64)
-        return self.sum
+            step.sum, step.mean, step.of = above + table[_path_buckets(step.names)].sum(0, dtype=np.float64), None, table
+        self.mean = self.sum / max(1, self.size)
+        return self.mean
 
 
 class Block:
     __slots__ = ("at", "linked", "text")
 
-    def __init__(self, at: Step | None, text: str, linked: int):
+    def __init__(self, at: Step, text: str, linked: int):
         self.at, self.text, self.linked = at, text, linked
 
     @property
     def path(self) -> tuple[str, ...]:
-        return tuple(self.at.path()) if self.at else ()
+        return tuple(self.at.path())
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks, with white space made single; empty ones are left out."""
+def blocks(html: str, root: Step | None = None) -> list[Block]:
+    """The page's blocks, with white space made single; empty ones are left out. Their paths are under ``root``."""
+    root = root or Step()
     out: list[Block] = []
     stack: list[Step] = []
     text: list[str] = []
@@ -104,7 +117,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             whole = _SPACE.sub(" ", unescape("".join(text))).strip()
             if whole:
-                out.append(Block(stack[-1] if stack else None, whole, linked))
+                out.append(Block(stack[-1] if stack else root, whole, linked))
             text.clear()
         linked = 0
 
@@ -206,7 +219,7 @@ def blocks(html: str) -> list[Block]:
                         break
                 if name not in _VOID:
                     named = " ".join(filter(None, (x for t in _NAMES.findall(named) for x in t))).lower()
-                    stack.append(Step(name, (name, *("." + x for x in _PART.findall(named))), stack[-1] if stack else None))
+                    stack.append((stack[-1] if stack else root).enter((name, *("." + x for x in _PART.findall(named)))))
                     opened[name] = opened.get(name, 0) + 1
     rest = _UNENDED.split(html[at:], maxsplit=1)[0]
     if rest and not svg and not template and (not head or not rest.isspace()):
@@ -229,8 +242,8 @@ def _word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (name >> np.uint64(40)).astype(np.intp) % WORDS, np.bincount(np.cumsum(raw == 10)[first], minlength=len(texts))
 
 
-def _path_buckets(path: tuple[str, ...]) -> list[int]:
-    return [zlib.crc32(x.encode()) % PATHS for x in path]
+def _path_buckets(path: tuple[str, ...]) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) % PATHS for x in path], np.intp)
 
 
 def _numbers(page: list[Block], words: np.ndarray) -> np.ndarray:
@@ -329,8 +342,7 @@ class Labeller:
         every = [b for p in pages for b in p]
         path = np.zeros((len(every), DIM), np.float32)
         for i, b in enumerate(every):
-            if b.at is not None:
-                path[i] = b.at.vector(self.w["path"]) / b.at.size
+            path[i] = b.at.vector(self.w["path"])
         words, count = _word_buckets([b.text for b in every])
         word = np.add.reduceat(self.w["word"][words], np.concatenate([[0], np.cumsum(count)[:-1]])) / count[:, None]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
@@ -415,7 +427,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "p
         own.w = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split = [blocks(h or "") for h in batch.column(2).to_pylist()]
+            root = Step()
+            split = [blocks(h or "", root) for h in batch.column(2).to_pylist()]
             texts = [main_text(p, k) for p, k in zip(split, own.label(split), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 

@@ -545,6 +545,12 @@ def test_long_and_broken_pages(spark):
     some = [html.blocks(f"<p>{'word ' * n}</p>" * m) for n, m in ((3, 700), (2, 5), (9, 300))]
     together = own.label(some, cells=800)
     assert all((a == own.label([p])[0]).all() for a, p in zip(together, some, strict=True))
+    # a path's kept vector is that of the labeller that asks
+    other, block = html.Labeller(seed=9), html.blocks("<div class=a><p>x</p></div>")
+    for who in (own, other, own):
+        mean = who.w["path"][html._path_buckets(block[0].path)].mean(0)
+        assert np.allclose(who.vectors([block])[0][0, : html.DIM], mean, atol=1e-6)
+        block[0].at.enter(("i",)).vector(other.w["path"])
     pages = frame(spark, [("x", None, "<p", 1), (None, "u", open_tags, 2)], "page_id string, url string, html string, text int")
     got = {r.page_id: r for r in html.extract(pages).collect()}
     assert (got["x"].text, got["x"].n_chars) == ("", 0) and got[None].n_chars == len(got[None].text)
