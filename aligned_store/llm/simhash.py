@@ -139,7 +139,8 @@ def linked_pairs(fps: DataFrame, radius: int = RADIUS, agree: int = 3) -> DataFr
 
 
 def _pairs(side: DataFrame, cells: list, masks: list, radius: int) -> DataFrame:
-    left, right = side.alias("l"), side.alias("r")
+    # merged, as the planner takes a side for no larger than the fingerprints it is exploded from, and would send it to all tasks
+    left, right = side.alias("l"), side.alias("r").hint("merge")
     apart = _embedding(F.col("l.fp")).bitwiseXOR(_embedding(F.col("r.fp")))
     same = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << g).otherwise(0) for g, m in enumerate(masks)), F.lit(0))
     # the bits of a cell up to its highest: only in the first cell that two share are these all their agreements
@@ -201,5 +202,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
     prints = cut(rows.groupBy(F.col(print_).alias("fp")).agg(F.min(first).alias("first")), "distinct")
     stay = _rooted(prints, "first", radius).select(F.col("best.row").alias(row)).distinct()
-    gone = cut(rows.select(row).join(stay, row, "left_anti"), "gone")
+    gone = cut(rows.select(row).join(stay.hint("merge"), row, "left_anti"), "gone")
     return small_join(rows, gone, [row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from aligned_store.llm import common, simhash
 
 
 def test_stages(spark, tmp_path):
@@ -63,3 +64,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert all(passage not in r.text for r in seen[3])
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in seen[3]}
     assert docs.where("doc_id = 'long'").count() > 50
+
+
+def test_near_duplicate_stage_leaves_no_join_to_the_planner(spark, tmp_path, monkeypatch):
+    plans = {}
+
+    def cut(df, label="cut"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.cut(df, label)
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    rows = [(i, f"some words of text {i % 30}") for i in range(60)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert {r.text for r in kept.collect()} <= {t for _, t in rows} and 0 < kept.count() <= 30
+    assert all("SortMergeJoin" in plans[x] and "Broadcast" not in plans[x] for x in ("links", "gone"))
