@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, lookup, map_batches, small_join, utf8, with_columns
+from .common import FEW_ROWS, cut, fresh, lookup, map_batches, small_join, utf8, with_columns
 from .graph import ball, components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -178,7 +178,7 @@ def _rooted(prints: DataFrame, first: str, radius: int) -> DataFrame:
     """Distinct fingerprints (fp, ``first``) -> (fp, best): the least ``first`` of the component, nulls aside."""
     links = connecting_links(prints.select("fp"), radius)
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    rooted = cut(prints.join(roots, "fp", "left").select("fp", first, F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = cut(small_join(prints, roots, ["fp"], "left", FEW_ROWS).select("fp", first, F.coalesce("root", "fp").alias("root")), "rooted")
     best = cut(rooted.groupBy("root").agg(F.min(first).alias("best")), "best")
     return cut(lookup(rooted, best, ["root"], "inner").select("fp", "best"), "components")
 

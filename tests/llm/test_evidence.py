@@ -348,6 +348,21 @@ def test_near_duplicates_of_other_ids(spark):
     assert len(same) == 1
 
 
+def test_near_duplicates_leave_no_join_to_the_planner(spark, monkeypatch):
+    plans = {}
+
+    def cut(df, label="cut"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.cut(df, label)
+
+    docs = frame(spark, [(i, f"some words of text {i % 30}") for i in range(60)])
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "cut", cut)
+    monkeypatch.setattr(simhash, "FEW_ROWS", -1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
+    assert all("Join" in plans[x] and "Broadcast" not in plans[x] for x in ("links", "rooted"))
+
+
 # tokens and packing
 
 
