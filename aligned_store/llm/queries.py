@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, packing, phrases, quality, simhash, tokens, urlgraph, warc
+from . import alignment, decontaminate, html, kdtree, langid, packing, phrases, quality, simhash, tokens, urlgraph, warc, whitening
 from .common import read
 
 
@@ -56,8 +56,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.sharding(read(spark, sf_dir, "documents"), 40, ["lang", "source", "n_chars"])
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_url_filter, op3_quality, op4_warc, op5_fingerprints, op6_language, op7_simhash, op8_token_counts, op9_packing, op10_html)
+    found = (op1_decontamination, op2_url_filter, op3_quality, op4_warc, op5_fingerprints, op6_language, op7_simhash, op8_token_counts, op9_packing, op10_html, op11_sharding, op12_alignment, op13_whitening)
     return {f.__name__: f for f in found}
 
 
