@@ -20,7 +20,7 @@ from .operators.deltas import Deltas, index_deltas, preprocess, replaced, upsert
 from .operators.reading import align, between
 from .plans.catalog import by_table, last_updated, latest_per_feature
 from .plans.transactions import transaction
-from .sources.shared import local_frame, spark_frame, spark_schema, wider
+from .sources.shared import literal, local_frame, spark_frame, spark_schema, wider
 from .sources.table_io import ParquetTableIO, TableIO, codec
 
 FrameModifier = Callable[[DataFrame], DataFrame]
@@ -165,8 +165,7 @@ class FeatureLake(BaseFeatureLake):
         rest = [c for c in df.columns if c not in self.keys]
         cast = df.select(*[F.col(f"`{k}`").cast(self.index_schema[k].dataType).alias(k) for k in self.keys], *[F.col(f"`{c}`") for c in rest])
         clean = preprocess(cast, self.keys)
-        files = self.io.stage(self._ordered(clean), self.keys)
-        files = [f for f in files if f["rows"]]
+        files = self._stage(clean)
         if not files:
             raise ValueError("Provided dataframe has no rows!")
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in clean.schema.fields])
@@ -233,20 +232,56 @@ class FeatureLake(BaseFeatureLake):
         if d.new_rows == d.rows or mark is None or d.low > mark:  # nothing of it is replaced
             self._list(addr, mine, files, kind, signal_type, touched)
             return addr, []
-        old = self.io.scan(addr)
-        if overlap_mode == "copy":
-            old = old.select(*self.keys, *[F.col(f"`{c}`") for c in own])
-            table = self.gen_table_addr()
+        table = self.gen_table_addr() if overlap_mode == "copy" else addr
+        there = self.io.schema(addr)
+        names = own if overlap_mode == "copy" else [f.name for f in there if f.name not in self.keys]
+        ranges = {self.primary: (d.low, d.high)}
+        held = self.io.holding(addr, ranges) if all(there[c].dataType == rows.schema[c].dataType for c in own) else None
+        if held is None:  # columns whose type changes, and other storage
+            old = self.io.scan(addr).select(*self.keys, *[F.col(f"`{c}`") for c in names])
+            self.io.write(self._ordered(self._overlapped(old, mine, own, d, signal_type)), touched(table), "overwrite", self.keys)
         else:
-            table = addr
+            self._swap(addr, table, held, ranges, rows, files, mine, names, own, d, signal_type, touched)
+        return table, [(c, latest[c].version + 1) for c in own]
+
+    def _overlapped(self, old: DataFrame, mine: DataFrame, own: list[str], d: Deltas, signal_type: str) -> DataFrame:
+        """Stored rows after an overlapping upload."""
+        if signal_type == S.AS_OF:
+            return upserted(old, mine, self.keys, own)
+        whole = replaced(old, mine, self.keys, self.primary, own, d.low, d.high)
+        return without_empty(whole, self.keys) if signal_type == S.SPARSE else whole
+
+    def _swap(self, addr, table, held, ranges, rows, files, mine, names, own, d: Deltas, signal_type, touched) -> None:
+        """An overlapping upload by file: files without rows that it touches stay listed, in a copy too.
+
+        Where a table has no columns besides the upload's, its rows in [low, high] go and the staged files come in
+        their place: of the files there only those that also have other rows are written anew, without them. An as-of
+        upload touches only the files that hold one of its keys.
+        """
         if signal_type == S.AS_OF:
-            whole = upserted(old, mine, self.keys, own)
+            held = self.io.holding(addr, ranges, mine.select(*self.keys))
+        old = self.io.of_files(addr, held).select(*self.keys, *[F.col(f"`{c}`") for c in names])
+        if set(names) > set(own):
+            new = self._stage(self._overlapped(old, mine, own, d, signal_type))
         else:
-            whole = replaced(old, mine, self.keys, self.primary, own, d.low, d.high)
-            if signal_type == S.SPARSE:
-                whole = without_empty(whole, self.keys)
-        self.io.write(self._ordered(whole), touched(table), "overwrite", self.keys)
-        return table, [(c, latest[c].version + 1) for c in own]
+            if signal_type == S.AS_OF:
+                kept, border = old.join(mine.select(*self.keys), self.keys, "left_anti"), held
+            else:
+                replaced_whole = self.io.inside(addr, held, ranges)
+                border = [f for f in held if f not in replaced_whole]
+                rest = self.io.of_files(addr, border).select(*self.keys, *[F.col(f"`{c}`") for c in names])
+                low, high = (literal(x, self.index_schema[self.primary].dataType) for x in (d.low, d.high))
+                kept = rest.where(~F.col(f"`{self.primary}`").between(low, high))
+            new = self._stage(kept) if border else []
+            if signal_type == S.SPARSE and not mine.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in own]).isNull()).isEmpty():
+                new += self._stage(without_empty(mine, self.keys))
+            else:
+                new += files
+        kind = T.StructType([f for f in self.io.schema(addr) if f.name in self.keys or f.name in names])
+        self.io.swap(addr, touched(table), held, new, kind, "overlap")
+
+    def _stage(self, df: DataFrame) -> list[dict]:
+        return [f for f in self.io.stage(self._ordered(df), self.keys) if f["rows"] != 0]
 
     def _list(self, table: str, mine: DataFrame, files: list[dict], kind: T.StructType, signal_type: str, touched) -> None:
         if self.io.exists(table):

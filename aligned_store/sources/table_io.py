@@ -78,6 +78,25 @@ class TableIO(ABC):
         """Join small files, where the storage has such; how many there were, by table."""
         return {t: 0 for t in targets}
 
+    def holding(self, target: str, ranges: dict | None = None, keys: DataFrame | None = None) -> list[dict] | None:
+        """The files that may hold rows of these ranges, and of these keys; None where the storage can't tell.
+
+        Without ranges and keys: all files. ``keys`` are looked for in the files, by those columns of the frame.
+        """
+        return None
+
+    def inside(self, target: str, files: list[dict], ranges: dict) -> list[dict]:
+        """Those of a table's files that are known to hold only rows of these ranges."""
+        return []
+
+    def of_files(self, target: str, files: list[dict]) -> DataFrame:
+        """The rows of some of a table's files."""
+        raise NotImplementedError
+
+    def swap(self, source: str, target: str, gone: list[dict], files: list[dict], schema: T.StructType, op: str) -> int:
+        """Publish ``target`` as ``source`` is now, without the files ``gone`` and with ``files``. Nothing else is written."""
+        raise NotImplementedError
+
     def rows(self, target: str, ranges: dict | None = None) -> int | None:
         """A bound on the rows that a scan of these ranges gives, where it is known without reading them."""
         return None
@@ -224,7 +243,7 @@ class ParquetTableIO(TableIO):
         if name not in self._manifests:
             if len(self._manifests) >= REMEMBERED:
                 self._manifests.pop(next(iter(self._manifests)))
-            self._manifests[name] = json.loads(self._read(f"{self.root}/{target}/_manifests/{name}.json"))
+            self._manifests[name] = json.loads(self._read(f"{self.root}/{manifest.get('table', target)}/_manifests/{name}.json"))
         return self._manifests[name]
 
     def _manifest(self, target: str, files: list[dict], level: int) -> dict:
@@ -342,26 +361,82 @@ class ParquetTableIO(TableIO):
     def merge(self, df: DataFrame, target: str, on: list[str], matched_predicate: str | None = None, when_matched_update: dict | None = None, when_not_matched_insert: dict | None = None, stats: Iterable[str] = ()) -> int:
         """Upsert: rows that match on the keys are updated, others inserted; by default all columns of ``df``.
 
-        The predicate and the maps (column -> SQL) see the columns as ``target.c`` and ``source.c``.
+        The predicate and the maps (column -> SQL) see the columns as ``target.c`` and ``source.c``. Copy-on-write by
+        file: those that hold a row to be updated are found by key ranges and by a join for their names, and only they
+        are written anew.
         """
-        old = self.scan(target)
-        t, s = old.withColumn("_t", F.lit(True)).alias("target"), df.withColumn("_s", F.lit(True)).alias("source")
-        joined = t.join(s, [F.col(f"target.`{k}`") == F.col(f"source.`{k}`") for k in on], "full")
-        both = F.col("target._t").isNotNull() & F.col("source._s").isNotNull()
-        if matched_predicate:
-            hit = both & F.coalesce(F.expr(matched_predicate), F.lit(False))
-        else:
-            hit = both
-        fresh = F.col("target._t").isNull()
-        update = {c: F.expr(e) for c, e in when_matched_update.items()} if when_matched_update is not None else {c: F.col(f"source.`{c}`") for c in df.columns}
-        insert = {c: F.expr(e) for c, e in when_not_matched_insert.items()} if when_not_matched_insert is not None else {c: F.col(f"source.`{c}`") for c in df.columns}
-        names = [*old.columns, *(c for c in df.columns if c not in old.columns)]
-        cols = []
-        for c in names:
-            kind = old.schema[c].dataType if c in old.columns else df.schema[c].dataType
-            kept = F.col(f"target.`{c}`") if c in old.columns else F.lit(None)
-            cols.append(F.when(fresh, insert.get(c, F.lit(None))).when(hit, update.get(c, kept)).otherwise(kept).cast(kind).alias(c))
-        return self.write(joined.select(*cols), target, "overwrite", stats)
+        kind = df.schema
+        staged = [f for f in self.stage(df, on) if f["rows"] != 0]
+        source = self._frame(staged, kind).alias("source")
+        here = self.snapshot(target)
+        names = [*here.schema.names, *(c for c in df.columns if c not in here.schema.names)]
+        known = _summary(staged)
+        extent = {k: (known["min"][k], known["max"][k]) for k in on if k in known["min"] and k in here.schema.names and here.schema[k].dataType == kind[k].dataType}
+        near = [f for f in self.files(target, here) if _overlaps(f, extent)] if staged else []
+        met = [F.col(f"target.`{k}`") == F.col(f"source.`{k}`") for k in on]
+        hit = F.coalesce(F.expr(matched_predicate), F.lit(False)) if matched_predicate else F.lit(True)
+        near_rows = self._frame(near, here.schema)
+        found = {r[0] for r in self._named(near_rows).alias("target").join(source, met).where(hit).select("target._path").distinct().collect()} if near else set()
+        touched = [f for f in near if f["path"] in found]
+
+        def columns(of: dict, kept) -> list:
+            kinds = {f.name: f.dataType for f in (*kind, *here.schema)}
+            return [of.get(c, kept(c)).cast(kinds[c]).alias(c) for c in names]
+
+        parts = []
+        if touched:
+            update = {c: F.expr(e) for c, e in when_matched_update.items()} if when_matched_update is not None else {c: F.col(f"source.`{c}`") for c in df.columns}
+            kept = lambda c: F.col(f"target.`{c}`") if c in here.schema.names else F.lit(None)
+            to = source.withColumn("_s", F.lit(True)).alias("source")
+            joined = self._frame(touched, here.schema).alias("target").join(to, met, "left")
+            parts.append(joined.select(*columns({c: F.when(F.col("source._s") & hit, e).otherwise(kept(c)) for c, e in update.items()}, kept)))
+        if staged:
+            insert = {c: F.expr(e) for c, e in when_not_matched_insert.items()} if when_not_matched_insert is not None else {c: F.col(f"source.`{c}`") for c in df.columns}
+            fresh = source.join(near_rows.alias("target"), met, "left_anti") if near else source
+            parts.append(fresh.select(*columns(insert, lambda c: F.lit(None))))
+        added = [f for part in parts for f in self.stage(part, stats) if f["rows"] != 0]
+        schema = T.StructType([*here.schema.fields, *(f for f in kind if f.name not in here.schema.names)])
+        return self.swap(target, target, touched, added, schema, "merge")
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        """With the path of each row's file, as commits have it."""
+        return df.select("*", F.substring_index("_metadata.file_path", "/", -3).alias("_path"))
+
+    def holding(self, target: str, ranges: dict | None = None, keys: DataFrame | None = None) -> list[dict] | None:
+        c = self.snapshot(target)
+        near = self.files(target, c, ranges)
+        if keys is None or not near:
+            return near
+        of = keys.columns
+        found = {r[0] for r in self._named(self._frame(near, c.schema)).join(keys, of, "left_semi").select("_path").distinct().collect()}
+        return [f for f in near if f["path"] in found]
+
+    def inside(self, target: str, files: list[dict], ranges: dict) -> list[dict]:
+        kinds = self.snapshot(target).schema
+        bounds = {k: _bounds(self.spark, r, kinds[k].dataType, -1) for k, r in ranges.items()}
+        known = lambda f, k: f["min"].get(k) is not None and f["max"].get(k) is not None
+        return [f for f in files if all(known(f, k) and None not in b and b[0] <= f["min"][k] and f["max"][k] <= b[1] for k, b in bounds.items())]
+
+    def of_files(self, target: str, files: list[dict]) -> DataFrame:
+        return self._frame(files, self.snapshot(target).schema)
+
+    def swap(self, source: str, target: str, gone: list[dict], files: list[dict], schema: T.StructType, op: str) -> int:
+        """Manifests that list none of the files that go are named again, also in another table's commit."""
+        here = self.snapshot(source)
+        before = here if target == source else self.snapshot(target) if self.exists(target) else None
+        out = {f["path"] for f in gone}
+        left = lambda some: [f for f in some if f["path"] not in out]
+        tail, manifests = left(here.tail), []
+        for m in here.manifests:
+            entries = self._entries(source, m) if out and any(_overlaps(m, _extent(f)) for f in gone) else None
+            kept = entries and left(entries)
+            if entries is None or len(kept) == len(entries):
+                manifests.append(m | {"table": m.get("table", source)})
+            elif len(kept) > INLINE:
+                manifests.append(self._manifest(target, kept, m["level"]))
+            else:
+                tail = kept + tail
+        return self._publish(target, op, _nullable(schema), [*tail, *files], manifests, before)
 
     def restore_to_timestamp(self, target: str, timestamp: dt.datetime) -> None:
         self.restore_to_version(target, self.snapshot(target, timestamp=timestamp).version)
@@ -461,8 +536,11 @@ def _width(kind: T.DataType) -> int:
     return 8 if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType)) else 32
 
 
-def _bounds(spark: SparkSession, r: tuple, kind: T.DataType) -> tuple:
-    """A range in the form of the statistics; None where there is no bound, or none that they can be compared with."""
+def _bounds(spark: SparkSession, r: tuple, kind: T.DataType, wide: int = 1) -> tuple:
+    """A range in the form of the statistics; None where there is no bound, or none that they can be compared with.
+
+    Where it is known to a day only, it is the wider range, or the narrower one if ``wide`` is -1.
+    """
 
     def one(x, slack: int):
         if x is None or not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -476,7 +554,7 @@ def _bounds(spark: SparkSession, r: tuple, kind: T.DataType) -> tuple:
             return x.toordinal() - dt.date(1970, 1, 1).toordinal() + (slack if isinstance(x, dt.datetime) else 0)
         return spark.sql("SELECT 1").select(whole(literal(x, kind).cast(kind), kind)).first()[0]
 
-    return one(r[0], -1), one(r[1], 1)
+    return one(r[0], -wide), one(r[1], wide)
 
 
 def _overlaps(f: dict, bounds: dict) -> bool:
@@ -492,5 +570,10 @@ def _overlaps(f: dict, bounds: dict) -> bool:
     return True
 
 
+def _extent(f: dict) -> dict:
+    """A file's key ranges, as bounds."""
+    return {k: (f["min"][k], f["max"].get(k)) for k in f["min"]}
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields])

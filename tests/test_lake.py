@@ -384,3 +384,101 @@ def test_arrow_and_pandas_input(spark, tmp_path):
     with pytest.raises(ValueError, match="sort key"):
         lake.feature_metadata_frame(start=day(0))
     assert lake.read(["x"], modifier=lambda df: df.where("x = 2")).count() == 1
+
+
+def paths(lake, target):
+    return {f["path"] for f in lake.io.files(target, lake.io.snapshot(target))}
+
+
+def many_files(spark, lake, name, add=None, n=5):
+    """A table of n files of ten days each."""
+    add = add or lake.add_features
+    for k in range(n):
+        add(frame(spark, [(10 * k + i, "a", 10 * k + i) for i in range(10)], **{name: L}).coalesce(1))
+    addr = next(r.table_addr for r in lake.feature_metadata_frame().collect() if r.feature_name == name)
+    return addr, paths(lake, addr)
+
+
+@pytest.mark.parametrize("mode", ["copy", "merge"])
+def test_an_overlap_rewrites_only_border_files(spark, lake, mode):
+    addr, before = many_files(spark, lake, "x")
+    # days 18 to 41: all of the files of days 20 to 39, parts of two others
+    lake.add_features(frame(spark, [(18, "a", -1), (30, "a", -2), (41, "a", -3)], x=L).coalesce(1), overlap_mode=mode)
+    new = max(lake.feature_metadata_frame().collect(), key=lambda r: r.version).table_addr
+    assert (new == addr) is (mode == "merge")
+    after = paths(lake, new)
+    assert len(before & after) == 1  # that of days 0 to 9; the last but one is cut at 41, the second at 18
+    want = {(i, "a"): i if i < 18 or i > 41 else {18: -1, 30: -2, 41: -3}.get(i) for i in range(50)}
+    assert values(lake.read(["x"]), "x") == want
+    # of the stored rows those in the range are the upload's alone
+    assert lake.io.scan(new).count() == 50 - 24 + 3
+    if mode == "copy":
+        assert paths(lake, addr) == before
+        assert values(lake.read(FeatureMetadata(["x"], [0]).get_metadata_frame(lake)), "x") == {(i, "a"): i for i in range(50)}
+
+
+def test_three_rows_rewrite_one_file(spark, lake):
+    _, before = many_files(spark, lake, "x")
+    lake.add_features(frame(spark, [(i, "a", -i) for i in (22, 23, 24)], x=L).coalesce(1), overlap_mode="merge")
+    addr = lake.feature_metadata_frame().first().table_addr
+    assert len(before & paths(lake, addr)) == 4
+    assert values(lake.read(["x"]), "x") == {(i, "a"): -i if 22 <= i <= 24 else i for i in range(50)}
+
+
+def test_an_overlap_with_siblings_keeps_their_files_outside(spark, lake):
+    for k in range(4):
+        lake.add_features(frame(spark, [(10 * k + i, "a", i, -i) for i in range(10)], x=L, y=L).coalesce(1))
+    addr = lake.feature_metadata_frame().first().table_addr
+    before = paths(lake, addr)
+    lake.add_features(frame(spark, [(12, "a", 7), (14, "a", 8)], x=L), overlap_mode="merge")
+    assert len(before & paths(lake, addr)) == 3
+    got = values(lake.read(["x", "y"]), "x", "y")
+    assert got[12, "a"] == (7, -2) and got[13, "a"] == (None, -3) and got[14, "a"] == (8, -4) and got[15, "a"] == (5, -5)
+
+
+def test_as_of_uploads_rewrite_files_that_hold_their_keys(spark, lake):
+    lake.add_features(frame(spark, [(i, "a", i) for i in range(50)], i=L))
+    addr, before = many_files(spark, lake, "e", lambda df: lake.add_as_of_features(df, {}, overlap_mode="merge"))
+    # between the first and the last key lie files that hold none of the three
+    lake.add_as_of_features(frame(spark, [(3, "a", -3), (44, "a", -44)], e=L), {}, overlap_mode="merge")
+    now = max(lake.feature_metadata_frame().where("feature_name = 'e'").collect(), key=lambda r: r.version).table_addr
+    assert now == addr and len(before & paths(lake, addr)) == 3
+    assert values(lake.read(["e"]), "e") == {(i, "a"): -i if i in (3, 44) else i for i in range(50)}
+
+
+def test_sparse_overlaps_store_no_empty_rows(spark, lake):
+    lake.add_features(frame(spark, [(i, "a", i) for i in range(50)], i=L))
+    addr, before = many_files(spark, lake, "s", lake.add_sparse_features)
+    lake.add_sparse_features(frame(spark, [(3, "a", None), (4, "a", 40), (12, "a", 12)], s=L), overlap_mode="copy")
+    now = max(lake.feature_metadata_frame().where("feature_name = 's'").collect(), key=lambda r: r.version).table_addr
+    assert len(before & paths(lake, now)) == 3 and lake.io.scan(now).where("s is null").isEmpty()
+    want = {(i, "a"): i if i < 3 or i > 12 else {4: 40, 12: 12}.get(i) for i in range(50)}
+    assert values(lake.read(["s"]), "s") == want
+
+
+def test_upserts_rewrite_files_with_matches(spark, lake):
+    io = lake.io
+    for k in range(5):
+        io.write(frame(spark, [(10 * k + i, "a", 10 * k + i) for i in range(10)], x=L).coalesce(1), "t", stats=["timestamp"])
+    before = paths(lake, "t")
+    io.merge(frame(spark, [(3, "a", 100), (33, "a", 1), (33, "b", 2), (99, "a", 3)], x=L), "t", ["timestamp", "symbol"], matched_predicate="source.x > target.x", stats=["timestamp"])
+    assert len(before & paths(lake, "t")) == 4  # the match of day 33 is no update
+    assert values(io.scan("t"), "x") == {(i, "a"): i for i in range(50)} | {(3, "a"): 100, (33, "b"): 2, (99, "a"): 3}
+    io.merge(frame(spark, [], x=L), "t", ["timestamp", "symbol"])
+    assert io.scan("t").count() == 52
+
+
+def test_swaps_of_long_lists_keep_manifests(spark, lake):
+    io = lake.io
+    kind = T.StructType([T.StructField("n", L)])
+    file = lambda n: {"path": f"_data/f{n}/part-0", "bytes": 1, "of": 1, "rows": 1, "min": {"n": n}, "max": {"n": n}}
+    for at in (0, 1000, 2000):
+        io.commit("long", [file(n) for n in range(at, at + 1000)], kind, "append")
+    old = io.snapshot("long")
+    io.swap("long", "copy", [file(1500)], [file(5000)], kind, "overlap")
+    new = io.snapshot("copy")
+    assert {m["name"] for m in old.manifests} - {m["name"] for m in new.manifests} == {old.manifests[1]["name"]}
+    assert {f["min"]["n"] for f in io.files("copy", new)} == set(range(3000)) - {1500} | {5000}
+    assert len(io.files("long", io.snapshot("long"))) == 3000
+    io.commit("copy", [file(n) for n in range(6000, 6100)], kind, "append")
+    assert len(io.files("copy", io.snapshot("copy"))) == 3100
