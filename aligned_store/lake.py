@@ -17,12 +17,15 @@ from . import schemas as S
 from .functions.runtime import roots, with_columns_topo
 from .functions.transforms import transform_exprs
 from .operators.deltas import Deltas, index_deltas, preprocess, replaced, upserted, without_empty
-from .operators.reading import align, between
-from .plans.catalog import by_table, last_updated, latest_per_feature
-from .plans.transactions import transaction
+from .operators.reading import align, between, gather, quote
+from .plans.catalog import by_table, last_updated, latest_per_feature, named
+from .plans.transactions import again, atomically, transaction
 from .sources.shared import literal, local_frame, spark_frame, spark_schema, wider
 from .sources.table_io import ParquetTableIO, TableIO, codec
 
+#: A group of so many rows at most is sent to all tasks of a read.
+FEW_ROWS = 2_000
+
 FrameModifier = Callable[[DataFrame], DataFrame]
 
 
@@ -57,8 +60,8 @@ class BaseFeatureLake(ABC):
 class FeatureLake(BaseFeatureLake):
     """A lake at ``base_path``, a folder that all executors share.
 
-    ``io`` may be any :class:`TableIO`. Writes assume one writer at a time, as commits of different
-    tables are not one; a second one that publishes the same version fails.
+    ``io`` may be any :class:`TableIO`. With the one of this package a write is seen whole or not at all, however
+    many tables it goes to, and of several writers at a time each builds on what the others have published.
     """
 
     def __init__(self, spark: SparkSession, base_path: str, feature_metadata_path: str = "feature_metadata", table_metadata_path: str = "table_metadata", index_path: str = "index", transaction_log_path: str = "transaction_log", table_name_prefix: str = "", primary_sort_key: str = "timestamp", compression: str = "zstd", target_file_size: int = 128 << 20, enable_runtime_computed_features: bool = False, io: TableIO | None = None):
@@ -91,14 +94,21 @@ class FeatureLake(BaseFeatureLake):
             there = self.io.schema(self.index)
             if [(f.name, f.dataType) for f in there] != [(f.name, f.dataType) for f in schema]:
                 raise ValueError(f"the lake has the sort keys {there.simpleString()}")
-        kinds = {self.index: schema, self.feature_metadata: S.FEATURE_METADATA, self.table_metadata: S.table_metadata(schema[self.primary].dataType), self.transaction_log: S.TRANSACTION_LOG}
-        for target, kind in kinds.items():
-            if not self.io.exists(target):
-                self.io.commit(target, [], kind, "create", "error")
+        self.ensure_transaction_log()  # no part of what is published together
+        kinds = {self.index: schema, self.feature_metadata: S.FEATURE_METADATA, self.table_metadata: S.table_metadata(schema[self.primary].dataType)}
+
+        def create(touched) -> None:
+            for target, kind in kinds.items():
+                if not self.io.exists(target):
+                    self.io.commit(touched(target), [], kind, "create", "error")
+
+        if not all(map(self.io.exists, kinds)):
+            atomically(self.io, create)
         self._keys_from(self.io.schema(self.index))
         return self
 
     def ensure_initialized(self) -> None:
+        self.io.pin()
         if not self.keys:
             if not self.io.exists(self.index):
                 raise S.UninitializedLakeException(f"no lake at {self.base_path}: call initialize() first")
@@ -155,21 +165,29 @@ class FeatureLake(BaseFeatureLake):
         """Extend the index by keys; every group reads as null there."""
         self.ensure_initialized()
         df = spark_frame(self.spark, df)
-        with transaction(self, "missing_owner", "index") as touched:
-            rows, files = self._staged(df.select(*self.keys))
+        staged: list = []
+
+        def body(touched) -> None:
+            rows, files = staged or self._staged(df.select(*self.keys), staged)
             self._extend_index(rows, files, self._deltas(rows, files), touched)
 
-    def _staged(self, df: DataFrame) -> tuple[DataFrame, list[dict]]:
-        """The cleaned input, written once: laid out by range of keys, so that ranges of the primary key prune files."""
+        transaction(self, "missing_owner", "index", body)
+
+    def _staged(self, df: DataFrame, kept: list) -> list:
+        """The cleaned input and its files, written once: laid out by range of keys, so that ranges of the primary key prune files.
+
+        They are put in ``kept`` too, for a second attempt at publishing them.
+        """
         self._check_keys(df)
         rest = [c for c in df.columns if c not in self.keys]
         cast = df.select(*[F.col(f"`{k}`").cast(self.index_schema[k].dataType).alias(k) for k in self.keys], *[F.col(f"`{c}`") for c in rest])
-        clean = preprocess(cast, self.keys)
-        files = self._stage(clean)
+        clean = preprocess(cast, self._order())
+        files = [f for f in self.io.stage(clean, self.keys) if f["rows"] != 0]
         if not files:
             raise ValueError("Provided dataframe has no rows!")
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in clean.schema.fields])
-        return self._frame(files, schema), files
+        kept[:] = self._frame(files, schema), files
+        return kept
 
     def _frame(self, files: list[dict], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.base_path}/{f['path']}" for f in files])
@@ -201,16 +219,18 @@ class FeatureLake(BaseFeatureLake):
         # metadata= says which tables need no alignment rows; reads align by key here, so none are stored for any
         if metadata is not None and "table_addr" not in metadata.columns:
             raise ValueError("metadata= must be rows of the feature metadata, with their table_addr")
-        latest = latest_per_feature(self.feature_metadata_frame().collect())
-        if taken := [c for c in columns if c in latest and latest[c].signal_type == S.RUNTIME]:
-            raise ValueError(f"registered as runtime features: {', '.join(taken)}")
-        marks = last_updated(self.table_metadata_frame().collect())
-        groups: dict[str | None, list[str]] = {}
-        for c in columns:
-            groups.setdefault(latest[c].table_addr if c in latest else None, []).append(c)
         text = None if params is None else json.dumps(params)
-        with transaction(self, owner, signal_type) as touched:
-            rows, files = self._staged(df)
+        staged: list = []
+
+        def body(touched) -> None:
+            latest = self._latest(columns)
+            if taken := [c for c in columns if c in latest and latest[c].signal_type == S.RUNTIME]:
+                raise ValueError(f"registered as runtime features: {', '.join(taken)}")
+            marks = last_updated(self.table_metadata_frame(), [r.table_addr for r in latest.values()])
+            groups: dict[str | None, list[str]] = {}
+            for c in columns:
+                groups.setdefault(latest[c].table_addr if c in latest else None, []).append(c)
+            rows, files = staged or self._staged(df, staged)
             d = self._deltas(rows, files)
             tables, features = [], []
             for addr, own in groups.items():
@@ -220,6 +240,8 @@ class FeatureLake(BaseFeatureLake):
             self._extend_index(rows, files, d, touched)
             self._publish(tables, features, touched)
 
+        transaction(self, owner, signal_type, body)
+
     def _update(self, rows, files, d: Deltas, addr, own, latest, marks, signal_type, overlap_mode, touched):
         """Write one group; its table, and (feature, version) of what is published anew."""
         kind = T.StructType([rows.schema[c] for c in (*self.keys, *own)])
@@ -299,8 +321,14 @@ class FeatureLake(BaseFeatureLake):
 
     def _ordered(self, df: DataFrame) -> DataFrame:
         """Laid out by range of the keys, so that ranges of the primary key prune files."""
-        order = [self.primary, *[k for k in self.keys if k != self.primary]]
-        return df.repartitionByRange(*order).sortWithinPartitions(*order)
+        return df.repartitionByRange(*self._order()).sortWithinPartitions(*self._order())
+
+    def _order(self) -> list[str]:
+        return [self.primary, *[k for k in self.keys if k != self.primary]]
+
+    def _latest(self, names) -> dict:
+        """The latest metadata row of each of these features that is known."""
+        return latest_per_feature(self.feature_metadata_frame(), names)
 
     def _publish(self, tables: list[tuple], features: list[tuple], touched) -> None:
         """One commit for each metadata table, after the data."""
@@ -310,35 +338,51 @@ class FeatureLake(BaseFeatureLake):
             if rows:
                 self.io.write(local_frame(self.spark, rows, schema), touched(target))
 
-    def compact(self, features: list[str] | None = None) -> dict[str, int]:
+    def compact(self, features: list[str] | None = None, by: list[str] | None = None) -> dict[str, int]:
         """Join the small files of system tables, and of the tables of features (all if none are named).
 
-        How many files were joined, by table. Nothing that is read changes, and older versions stay readable.
+        How many files were joined, by table. Nothing that is read changes, and older versions stay readable. With
+        ``by``, sort keys, all files of these tables and of the index are written anew, in an order that keeps rows
+        close that are close in these keys (one: by range of it; several: a Z-order), so that reads which bound any of
+        them open few files.
         """
         self.ensure_initialized()
-        rows = self.feature_metadata_frame().collect()
-        tables = dict.fromkeys(r.table_addr for r in rows if r.table_addr != S.NO_TABLE and (features is None or r.feature_name in features))
-        order = [self.primary, *[k for k in self.keys if k != self.primary]]
-        return self.io.compact([self.index, *tables], order) | self.io.compact([self.feature_metadata, self.table_metadata, self.transaction_log])
+        rows = self.feature_metadata_frame()
+        rows = rows if features is None else named(rows, "feature_name", features)
+        tables = [r.table_addr for r in rows.select("table_addr").distinct().collect() if r.table_addr != S.NO_TABLE]
+        if by and (wrong := [k for k in by if k not in self.keys]):
+            raise ValueError(f"not sort keys: {', '.join(wrong)}")
+
+
+        def body(touched) -> dict[str, int]:
+            own, system = [self.index, *sorted(tables)], [self.feature_metadata, self.table_metadata]
+            for t in (*own, *system):
+                touched(t)
+            return self.io.compact(own, self._order(), by=by or ()) | self.io.compact(system)
+
+        return atomically(self.io, body) | again(lambda: self.io.compact([self.transaction_log]))
 
     def consolidate_feature_groups(self, features: list[str]) -> str | None:
         """Bring dense features of several tables into one; its address, or None if they are in one already."""
         self.ensure_initialized()
-        latest = latest_per_feature(self.feature_metadata_frame().collect())
-        if missing := [f for f in features if f not in latest]:
-            raise S.MissingFeaturesException(f"unknown: {', '.join(missing)}")
-        rows = [latest[f] for f in dict.fromkeys(features)]
-        if wrong := [r.feature_name for r in rows if r.signal_type not in (S.FEATURE, S.TARGET)]:
-            raise ValueError(f"only dense features can be consolidated: {', '.join(wrong)}")
-        if len({r.table_addr for r in rows}) < 2:
-            return None
-        marks = last_updated(self.table_metadata_frame().collect())
-        table = self.gen_table_addr()
-        with transaction(self, "missing_owner", S.FEATURE) as touched:
-            self.io.write(self._assemble(rows, None, None), touched(table), "overwrite", self.keys)
+
+        def body(touched) -> str | None:
+            latest = self._latest(features)
+            if missing := [f for f in features if f not in latest]:
+                raise S.MissingFeaturesException(f"unknown: {', '.join(missing)}")
+            rows = [latest[f] for f in dict.fromkeys(features)]
+            if wrong := [r.feature_name for r in rows if r.signal_type not in (S.FEATURE, S.TARGET)]:
+                raise ValueError(f"only dense features can be consolidated: {', '.join(wrong)}")
+            if len({r.table_addr for r in rows}) < 2:
+                return None
+            marks = last_updated(self.table_metadata_frame(), [r.table_addr for r in rows])
+            table = self.gen_table_addr()
+            self.io.write(self._ordered(self._assemble(rows, None, None)), touched(table), "overwrite", self.keys)
             mark = max(marks[r.table_addr] for r in rows if r.table_addr in marks)
             self._publish([(table, mark)], [(r.feature_name, r.version + 1, table, r.owner, r.signal_type, r.feature_params) for r in rows], touched)
-        return table
+            return table
+
+        return transaction(self, "missing_owner", S.FEATURE, body)
 
     # runtime features
 
@@ -350,20 +394,23 @@ class FeatureLake(BaseFeatureLake):
         """Register outputs as SQL over features; sort keys may be used too, as in OVER (ORDER BY ...)."""
         self.ensure_initialized()
         self._ensure_runtime()
-        latest = latest_per_feature(self.feature_metadata_frame().collect())
         of = {n: [r for r in roots(self.spark, e) if r not in self.keys] for n, e in exprs.items()}
-        for n, own in of.items():
-            if n in own:
-                raise ValueError(f"{n} refers to itself")
-            if n in self.keys:
-                raise ValueError(f"{n} is a sort key")
-            if missing := [r for r in own if r not in latest and r not in exprs]:
-                raise S.MissingFeaturesException(f"{n} refers to unknown features: {', '.join(missing)}")
-        if again := [n for n in exprs if n in latest]:
-            raise ValueError(f"registered already: {', '.join(again)}")
-        with transaction(self, owner, S.RUNTIME) as touched:
+
+        def body(touched) -> None:
+            latest = self._latest([*exprs, *(r for own in of.values() for r in own)])
+            for n, own in of.items():
+                if n in own:
+                    raise ValueError(f"{n} refers to itself")
+                if n in self.keys:
+                    raise ValueError(f"{n} is a sort key")
+                if missing := [r for r in own if r not in latest and r not in exprs]:
+                    raise S.MissingFeaturesException(f"{n} refers to unknown features: {', '.join(missing)}")
+            if again := [n for n in exprs if n in latest]:
+                raise ValueError(f"registered already: {', '.join(again)}")
             self._publish([], [(n, 0, S.NO_TABLE, owner, S.RUNTIME, json.dumps({"expr": e, "roots": of[n]})) for n, e in exprs.items()], touched)
 
+        transaction(self, owner, S.RUNTIME, body)
+
     def add_runtime_transforms(self, features: list[str], transforms: list[str], owner: str = "missing_owner") -> None:
         """Register ``<feature>__<transform>`` for all pairs."""
         exprs = transform_exprs(features, transforms)
@@ -374,17 +421,20 @@ class FeatureLake(BaseFeatureLake):
 
     # reading
 
-    def read(self, features, targets: list[str] | None = None, start=None, end=None, materialized: bool = True, strict: bool = False, modifier: FrameModifier = no_op_modifier) -> DataFrame:
+    def read(self, features, targets: list[str] | None = None, start=None, end=None, materialized: bool = True, strict: bool = False, modifier: FrameModifier = no_op_modifier, where: dict[str, list] | None = None) -> DataFrame:
         """Features as one wide frame, keyed by the index in [start, end] and sorted by its keys.
 
         ``features`` is a list of names (latest versions) or a metadata frame (pinned rows). The result is
         lazy in either case; ``materialized=False`` leaves out the sort, as further plans may follow. ``modifier``
-        is applied to the result.
+        is applied to the result. ``where`` lists the values that secondary sort keys may have; files whose ranges
+        of these keys hold none of them aren't opened (see :meth:`compact` for a layout that suits).
         """
-        return self._asked(features, targets, start, end, materialized, strict).transform(modifier)
+        return self._asked(features, targets, start, end, materialized, strict, where or {}).transform(modifier)
 
-    def _asked(self, features, targets, start, end, materialized: bool, strict: bool) -> DataFrame:
+    def _asked(self, features, targets, start, end, materialized: bool, strict: bool, where: dict[str, list]) -> DataFrame:
         self.ensure_initialized()
+        if wrong := [k for k in where if k not in self.keys or k == self.primary]:
+            raise ValueError(f"not secondary sort keys: {', '.join(wrong)}")
         if isinstance(features, DataFrame):
             picked = features.collect()
             names = [r.feature_name for r in picked]
@@ -392,71 +442,90 @@ class FeatureLake(BaseFeatureLake):
                 raise ValueError("multiple versions of a feature are asked for")
             if not picked:
                 raise S.MissingFeaturesException("no features are asked for")
-            latest = latest_per_feature(self.feature_metadata_frame().collect()) if any(r.signal_type == S.RUNTIME for r in picked) else {}
-            return self._read(names, {r.feature_name: r for r in picked}, latest, start, end, materialized)
+            return self._read(names, {r.feature_name: r for r in picked}, start, end, materialized, where)
         if not isinstance(features, (list, tuple)):
             raise TypeError(f"features must be a list of names or a metadata frame, not {type(features).__name__}")
-        latest = latest_per_feature(self.feature_metadata_frame().collect())
+        latest = self._latest([*features, *(targets or [])])
         if wrong := [t for t in targets or [] if t not in latest or latest[t].signal_type != S.TARGET]:
             raise S.MissingOrMisregisteredSignalsException(f"not registered as targets: {', '.join(wrong)}")
         names = list(dict.fromkeys([*features, *(targets or [])]))
         known = [n for n in names if n in latest]
         if not known or (strict and len(known) < len(names)):
             raise S.MissingFeaturesException(f"unknown: {', '.join(n for n in names if n not in latest)}")
-        return self._read(known, {n: latest[n] for n in known}, latest, start, end, materialized)
+        return self._read(known, {n: latest[n] for n in known}, start, end, materialized, where)
 
-    def _read(self, names: list[str], picked: dict, latest: dict, start, end, materialized: bool) -> DataFrame:
+    def _read(self, names: list[str], picked: dict, start, end, materialized: bool, where: dict[str, list]) -> DataFrame:
+        if any(r.signal_type == S.RUNTIME for r in picked.values()):
+            self._ensure_runtime()
         # runtime features need their roots, and theirs; roots are in the output too
-        todo = list(picked)
+        todo = list(picked.values())
         while todo:
-            r = picked[todo.pop()]
-            if r.signal_type == S.RUNTIME:
-                self._ensure_runtime()
-                for root in json.loads(r.feature_params)["roots"]:
-                    if root not in picked:
-                        if root not in latest:
-                            raise S.MissingFeaturesException(f"unknown: {root}")
-                        picked[root] = latest[root]
-                        names = [*names, root]
-                        todo.append(root)
+            asked = [root for r in todo if r.signal_type == S.RUNTIME for root in json.loads(r.feature_params)["roots"]]
+            new = [root for root in dict.fromkeys(asked) if root not in picked]
+            found = self._latest(new) if new else {}
+            if missing := [n for n in new if n not in found]:
+                raise S.MissingFeaturesException(f"unknown: {', '.join(missing)}")
+            picked |= found
+            names = [*names, *new]
+            todo = list(found.values())
         runtime = {n: json.loads(r.feature_params) for n, r in picked.items() if r.signal_type == S.RUNTIME}
-        df = self._assemble([r for r in picked.values() if r.signal_type != S.RUNTIME], start, end)
+        df = self._assemble([r for r in picked.values() if r.signal_type != S.RUNTIME], start, end, where, ranged=materialized and not runtime)
         if runtime:
             df = with_columns_topo(df, {n: x["expr"] for n, x in runtime.items()}, {n: x["roots"] for n, x in runtime.items()})
-        df = df.select(*[F.col(f"`{n}`") for n in names], *self.keys)
+        df = df.selectExpr(*map(quote, [*names, *self.keys]))
         return df.orderBy(*self.keys) if materialized else df
 
-    def _assemble(self, rows: list, start, end) -> DataFrame:
+    def _assemble(self, rows: list, start, end, where: dict[str, list] | None = None, ranged: bool = False) -> DataFrame:
         """The bounded index with each group's features, of which only asked columns and ranges are read.
 
-        Groups are left-joined by key, but for what one of them holds in files that it shares with the index:
-        there each index row stands with its values, and is read as it is.
+        What the first group holds in files that it shares with the index is read as it stands: there each index row
+        has its values. Groups of few rows are sent to the index. All others, however many, meet the index in one
+        exchange (:func:`gather`); ``ranged`` lets it lay out the result by range of the keys. As-of groups come last.
         """
+        ranges = {self.primary: (start, end), **{k: list(v) for k, v in (where or {}).items()}}
+
+        def clip(df: DataFrame, low=start, high=end) -> DataFrame:
+            df = between(df, self.primary, low, high)
+            for k, v in (where or {}).items():
+                df = df.where(F.col(f"`{k}`").isin(list(v)))
+            return df
+
+        def scan(addr, low=start, high=end) -> DataFrame:
+            return clip(self.io.scan(addr, ranges=ranges | {self.primary: (low, high)}), low, high)
+
+        def of(own, df: DataFrame) -> DataFrame:
+            return df.selectExpr(*map(quote, [*self.keys, *(r.feature_name for r in own)]))  # one call to the JVM, however many
+
         groups = list(by_table(rows).items())
-        near, far = [g for g in groups if g[0][1] != S.AS_OF], [g for g in groups if g[0][1] == S.AS_OF]
+        near, far = [(g[0], own) for g, own in groups if g[1] != S.AS_OF], [g for g in groups if g[0][1] == S.AS_OF]
+        few, many = [], []
+        for addr, own in near[1:]:
+            known = self.io.rows(addr, ranges)
+            (few if known is not None and known <= FEW_ROWS else many).append((addr, own))
         df = None
         if near:
-            (addr, *_), own = near[0]
-            names = [F.col(f"`{r.feature_name}`") for r in own]
-            clip = lambda x: between(x, self.primary, start, end)
-            common, index, rest = self.io.split(self.index, addr, {self.primary: (start, end)})
-            parts = [] if common is None else [clip(common).select(*self.keys, *names)]
-            if index is not None:
-                parts.append(clip(index).join(clip(rest).select(*self.keys, *names), self.keys, "left"))
-            df = reduce(DataFrame.unionByName, parts) if parts else None
-            near = near[1:] if parts else near
+            addr, own = near[0]
+            common, index, rest = self.io.split(self.index, addr, ranges)
+            if many:
+                parts = [] if common is None else [(of(own, clip(common)), 0, True)]
+                parts += [] if index is None else [(clip(index), None, True), (of(own, clip(rest)), 0, False)]
+                parts += [(of(o, scan(a)), k, False) for k, (a, o) in enumerate(many, 1)]
+                df = gather(parts, self.keys, ranged and not far and not few)
+            else:
+                parts = [] if common is None else [of(own, clip(common))]
+                parts += [] if index is None else [clip(index).join(of(own, clip(rest)), self.keys, "left")]
+                df = reduce(DataFrame.unionByName, parts) if parts else scan(self.index).join(of(own, scan(addr)), self.keys, "left")
         if df is None:
-            df = self.index_frame(start, end)
-        for (addr, signal_type, params), own in (*near, *far):
-
-            def scan(low, high, addr=addr):
-                return between(self.io.scan(addr, ranges={self.primary: (low, high)}), self.primary, low, high)
+            df = scan(self.index)
+        for addr, own in few:
+            df = df.join(F.broadcast(of(own, scan(addr))), self.keys, "left")
+        for (addr, signal_type, params), own in far:
 
             def count(low, high, addr=addr):
-                known = [self.io.rows(addr, {self.primary: (low, high)}), self.io.rows(self.index, {self.primary: (start, end)})]
+                known = [self.io.rows(addr, ranges | {self.primary: (low, high)}), self.io.rows(self.index, ranges)]
                 return None if None in known else sum(known)
 
-            df = align(df, scan, signal_type, params, [r.feature_name for r in own], self.keys, self.primary, start, end, count)
+            df = align(df, lambda low, high, addr=addr: scan(addr, low, high), signal_type, params, [r.feature_name for r in own], self.keys, self.primary, start, end, count)
         return df
 
     @staticmethod
@@ -489,9 +558,13 @@ class FeatureLake(BaseFeatureLake):
             if r.feature_name not in own or (r.version or 0) > own[r.feature_name][0]:
                 note = {"tags": list(r.tags or [])} | ({"comment": r.comment} if r.comment is not None else {})
                 own[r.feature_name] = (r.version or 0, note)
-        for addr, own in notes.items():
-            if self.io.exists(addr):
-                self.io.annotate(addr, {n: note for n, (_, note) in own.items()})
+
+        def body(touched) -> None:
+            for addr, own in notes.items():
+                if self.io.exists(addr):
+                    self.io.annotate(touched(addr), {n: note for n, (_, note) in own.items()})
+
+        atomically(self.io, body)
 
     def describe(self, features_metadata: DataFrame) -> DataFrame:
         """The metadata with comment and tags; versions that share a table share them."""
@@ -507,8 +580,20 @@ class FeatureLake(BaseFeatureLake):
         self.ensure_initialized()
         if timestamp.tzinfo is None:
             raise ValueError("the timestamp needs a time zone")
-        for target in (self.index, self.table_metadata, self.feature_metadata):
-            self.io.restore_to_timestamp(target, timestamp)
-        for (addr,) in self.feature_metadata_frame().select("table_addr").distinct().collect():
-            if addr != S.NO_TABLE:
-                self.io.restore_to_timestamp(addr, timestamp)
+
+        def body(touched) -> None:
+            then = self.io.versions_at(timestamp)
+
+            def restore(target: str) -> None:
+                if then is None:
+                    self.io.restore_to_timestamp(touched(target), timestamp)
+                else:
+                    self.io.restore_to_version(touched(target), then[target])
+
+            for target in (self.index, self.table_metadata, self.feature_metadata):
+                restore(target)
+            for (addr,) in self.feature_metadata_frame().select("table_addr").distinct().collect():
+                if addr != S.NO_TABLE:
+                    restore(addr)
+
+        atomically(self.io, body)

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def preprocess(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows without a null key, the first of each key: that with the lowest position in the input."""
-    at = df.withColumn("_at", F.monotonically_increasing_id()).dropna(subset=keys)
-    w = Window.partitionBy(*keys).orderBy("_at")
-    return at.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_at")
+def preprocess(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows without a null key, the first of each key: that with the lowest position in the input.
+
+    They are laid out by range of the keys, in ``order``, and sorted by them; keys that are equal are in one range, so
+    this one exchange serves the choice of the first as well.
+    """
+    at = df.withColumn("_at", F.monotonically_increasing_id()).dropna(subset=order).repartitionByRange(*order)
+    first = at.withColumn("_rank", F.row_number().over(Window.partitionBy(*order).orderBy("_at")))
+    return first.where("_rank = 1").drop("_rank", "_at").sortWithinPartitions(*order)
 
 
 @dataclass

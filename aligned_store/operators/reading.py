@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import AS_OF
 from ..sources.shared import literal
@@ -35,6 +37,35 @@ def context(strategy: str, start, end) -> tuple:
     return (None if strategy in ("backward", "nearest") else start, None if strategy in ("forward", "nearest") else end)
 
 
+def gather(parts: list[tuple[DataFrame, int | None, bool]], keys: list[str], ranged: bool = False) -> DataFrame:
+    """A left join of an index with any number of groups by one exchange.
+
+    ``parts``: frames of the keys and a group's columns, the number of the group (None: no columns), and whether their
+    rows are index rows. All rows are dealt by key together, each with its values in its group's struct, and a key's
+    rows become one: no two rows of a key have the same group. With ``ranged`` they are dealt by range, so that a sort
+    by the keys needs no further exchange.
+    """
+    kinds: dict[int, T.StructType] = {}
+    for df, k, _ in parts:
+        if k is not None and k not in kinds:
+            kinds[k] = T.StructType([f for f in df.schema if f.name not in keys])
+    quoted = [quote(k) for k in keys]
+
+    def row(df: DataFrame, k: int | None, index: bool) -> DataFrame:
+        own = lambda g: f"struct({', '.join(map(quote, kinds[g].names))})" if g == k else f"CAST(NULL AS struct<{', '.join(f'{quote(f.name)}: {f.dataType.simpleString()}' for f in kinds[g])}>)"
+        return df.selectExpr(*quoted, f"CAST({'TRUE' if index else 'NULL'} AS BOOLEAN) AS _index", *[f"{own(g)} AS _group_{g}" for g in kinds])
+
+    rows = reduce(DataFrame.unionAll, [row(*p) for p in parts])
+    dealt = rows.repartitionByRange(*keys) if ranged else rows.repartition(*keys)
+    met = dealt.groupBy(*keys).agg(F.first("_index", ignorenulls=True).alias("_index"), *[F.first(f"_group_{g}", ignorenulls=True).alias(f"_group_{g}") for g in kinds])
+    return met.where("_index").selectExpr(*quoted, *[f"_group_{g}.{quote(n)}" for g in kinds for n in kinds[g].names])
+
+
+def quote(name: str) -> str:
+    """A name as SQL has it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def align(index: DataFrame, scan, signal_type: str, params: str | None, features: list[str], keys: list[str], primary: str, start=None, end=None, count=None) -> DataFrame:
     """``index`` (already bounded) with ``features`` of one group; ``scan(low, high)`` gives the group's rows of a range.
 

@@ -1,14 +1,18 @@
-"""Logged writes that are rolled back when they fail."""
+"""Writes to several tables that are seen together, logged, and given up when they fail."""
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
 
-from ..schemas import ERROR_CHARS, FAILED, PENDING, ROLLED_BACK, SUCCESS, TRANSACTION_LOG
+from ..schemas import ERROR_CHARS, FAILED, PENDING, ROLLED_BACK, SUCCESS, TRANSACTION_LOG, ConcurrentWriteError
 from ..sources.shared import local_frame
 
+#: How often a write is tried on what others have published in between.
+ATTEMPTS = 8
+
 
 class Touched:
     """The versions of tables before a transaction first writes to them."""
@@ -21,28 +25,53 @@ class Touched:
             self.before[target] = self.io.version(target)
         return target
 
-    def restore(self) -> None:
-        for target, version in reversed(self.before.items()):
-            if self.io.version(target) is not None:
-                self.io.restore_to_version(target, version)
+
+def again(what: Callable, attempts: int = ATTEMPTS):
+    """What ``what`` returns, tried anew, a little later each time, while another writer has been faster."""
+    for left in reversed(range(attempts)):
+        try:
+            return what()
+        except ConcurrentWriteError:
+            if not left:
+                raise
+            time.sleep(0.05 * (attempts - left) * (1 + uuid.uuid4().int % 8 / 8))
+
+
+def atomically(io, body: Callable[[Touched], object]):
+    """Run ``body``, which tells each table before it writes to it, and publish all of them in one commit of the lake.
+
+    Where another writer has published meanwhile, the body runs anew on what is there then.
+    """
+
+    def once():
+        io.begin()
+        touched = Touched(io)
+        try:
+            out = body(touched)
+            io.publish(touched.before)
+            return out
+        except BaseException:
+            io.undo(touched.before)
+            raise
+
+    return again(once)
 
 
-@contextmanager
-def transaction(lake, owner: str, signal_type: str):
-    """Logs pending, then success; or failed, restores what was touched, logs rolled_back and raises again."""
-    key, started, touched = uuid.uuid4().hex, dt.datetime.now(dt.UTC), Touched(lake.io)
+def transaction(lake, owner: str, signal_type: str, body: Callable[[Touched], object]):
+    """:func:`atomically`, logged: pending, then success; or failed and, once nothing of it is left, rolled back."""
+    key, started = uuid.uuid4().hex, dt.datetime.now(dt.UTC)
 
     def log(status: str, error: str | None = None) -> None:
         row = (key, status, owner, signal_type, started, dt.datetime.now(dt.UTC), error[:ERROR_CHARS] if error else None)
-        lake.io.write(local_frame(lake.spark, [row], TRANSACTION_LOG), lake.transaction_log)
+        again(lambda: lake.io.write(local_frame(lake.spark, [row], TRANSACTION_LOG), lake.transaction_log))
 
     lake.ensure_transaction_log()
     log(PENDING)
     try:
-        yield touched
+        out = atomically(lake.io, body)
     except BaseException as e:
         log(FAILED, f"{type(e).__name__}: {e}")
-        touched.restore()
         log(ROLLED_BACK)
         raise
     log(SUCCESS)
+    return out

@@ -19,6 +19,7 @@ from .lake import FeatureLake
 from .operators.asof import as_of_join
 from .plans.catalog import FeatureMetadata
 from .sources.shared import scratch
+from .sources.table_io import ParquetTableIO, TableIO
 
 LOW, HIGH = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 20)
 _EVENTS = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType())])
@@ -298,9 +299,11 @@ def q32_restore_version(spark, sf_dir):
 
 
 def q33_arrow_upload(spark, sf_dir):
-    lake, e = _lake(spark), _events(spark, sf_dir)
-    lake.add_features(e.select("ts", "user_id", "value").toArrow())
-    return lake.read(["value"])
+    """Daily totals by type as an Arrow table: as many rows as there are days and types, whatever the events."""
+    daily = _events(spark, sf_dir).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_type").agg(F.count("*").alias("n"))
+    lake = _lake(spark, T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType())]))
+    lake.add_features(daily.toArrow())
+    return lake.read(["n"])
 
 
 def q34_compaction(spark, sf_dir):
@@ -320,6 +323,116 @@ def q35_streaming_ingest(spark, sf_dir):
     return lake.read(["value"])
 
 
+def _in_weeks(spark, sf_dir, **kw) -> tuple[FeatureLake, DataFrame]:
+    """A lake of several uploads, each of a week's events, so that a group has many files of as many ranges."""
+    lake, e = _lake(spark, **kw), _events(spark, sf_dir).select("ts", "user_id", "value")
+    low, high = (x.date() for x in e.agg(F.min("ts"), F.max("ts")).first())
+    for k in range((high - low).days // 7 + 1):
+        week = (F.datediff(F.col("ts").cast("date"), F.lit(low)) / 7).cast("int") == k
+        lake.add_features(e.where(week))
+    return lake, e
+
+
+def q36_touched_files(spark, sf_dir):
+    """A merge of some days into a group of many files; those of other days stay."""
+    lake, e = _in_weeks(spark, sf_dir)
+    lake.add_features(_window(e).where("user_id % 5 > 0").select("ts", "user_id", (F.col("value") + 0.5).alias("value")), overlap_mode="merge")
+    return lake.read(["value"])
+
+
+def q37_shared_versions(spark, sf_dir):
+    """Two versions of a feature that share the files outside the second one's range."""
+    lake, e = _in_weeks(spark, sf_dir)
+    lake.add_features(_window(e).select("ts", "user_id", (-F.col("value")).alias("value")), overlap_mode="copy")
+    of = lambda v: lake.read(FeatureMetadata(["value"], [v]).get_metadata_frame(lake), materialized=False).withColumn("version", F.lit(v))
+    return of(0).unionByName(of(1))
+
+
+def q38_many_groups(spark, sf_dir):
+    """Six groups that meet in one exchange."""
+    lake, e = _lake(spark), _events(spark, sf_dir)
+    for k in range(6):
+        lake.add_features(e.where(f"user_id % 6 >= {k}").select("ts", "user_id", (F.col("value") + k).alias(f"v{k}"), F.concat("event_type", F.lit(f"{k}")).alias(f"t{k}")))
+    return lake.read([f"{c}{k}" for k in range(6) for c in "vt"])
+
+
+def q39_key_lookup(spark, sf_dir):
+    """Two users' rows, from files in a Z-order of time and user."""
+    lake, _ = _in_weeks(spark, sf_dir, target_file_size=64 << 10)
+    lake.compact(["value"], by=["ts", "user_id"])
+    return lake.read(["value"], where={"user_id": [3, 7]}, start=LOW)
+
+
+def q40_writers_at_once(spark, sf_dir):
+    """Three uploads at a time, each by a lake object of its own; all are kept."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    lake, e = _lake(spark), _events(spark, sf_dir)
+    frames = [_of(e, kind, f"{kind}_value") for kind in ("click", "view", "purchase")]
+    with ThreadPoolExecutor(len(frames)) as pool:
+        list(pool.map(lambda df: FeatureLake(spark, lake.base_path, primary_sort_key="ts").add_features(df), frames))
+    return lake.read(["click_value", "view_value", "purchase_value"])
+
+
+def q41_unpublished_upload(spark, sf_dir):
+    """What a writer leaves behind that never comes to publish it is not seen, nor built on."""
+    lake, e = _dense(spark, sf_dir)
+    lost = FeatureLake(spark, lake.base_path, primary_sort_key="ts")
+    lost.ensure_initialized()
+    lost.io.begin()
+    (addr,) = [r.table_addr for r in lost.feature_metadata_frame().collect()]
+    lost.io.write(e.select("ts", "user_id", F.lit(-1.0).alias("value")), addr, "overwrite", ["ts"])
+    lost.io.write(e.select("ts", (-F.col("user_id")).alias("user_id")), lost.index, "append", ["ts"])
+    lake.add_features(_window(e).select("ts", "user_id", (F.col("value") * 2).alias("value")), overlap_mode="merge")
+    return FeatureLake(spark, lake.base_path, primary_sort_key="ts").read(["value"])
+
+
+def q42_ahead_append(spark, sf_dir):
+    """Rows beyond the mark, some with keys that the index has already, are appended."""
+    lake, e = _lake(spark), _events(spark, sf_dir).select("ts", "user_id", "value")
+    early = F.col("ts") < F.lit(LOW).cast("timestamp_ntz")
+    lake.add_features(e.where(early))
+    lake.add_index_rows(e.where(~early & (F.col("user_id") % 2 == 0)))
+    lake.add_features(e.where(~early))
+    return lake.read(["value"])
+
+
+def q43_table_marks(spark, sf_dir):
+    """The marks of a group's two uploads."""
+    lake = _overlap(spark, sf_dir, "merge")
+    return lake.table_metadata_frame(start=LOW).groupBy("last_updated").agg(F.count("*").alias("updates"), F.count_distinct("table_addr").alias("tables"))
+
+
+def q44_modifier(spark, sf_dir):
+    return _dense(spark, sf_dir)[0].read(["value"], modifier=lambda df: df.where("value > 50").withColumn("half", F.col("value") / 2))
+
+
+def q45_plain_storage(spark, sf_dir):
+    """A lake on storage of one's own, which has tables and their versions and nothing else."""
+    path = scratch(spark, "lake")
+    lake, e = FeatureLake(spark, path, primary_sort_key="ts", io=_Plain(ParquetTableIO(spark, path))).initialize(_EVENTS), _events(spark, sf_dir)
+    lake.add_features(e.select("ts", "user_id", "value"))
+    lake.add_features(_window(e).select("ts", "user_id", (F.col("value") * 2).alias("value")), overlap_mode="merge")
+    return lake.read(["value"])
+
+
+class _Plain(TableIO):
+    """Only what a TableIO must have, by another one."""
+
+    def __init__(self, other: TableIO):
+        self.other = other
+
+
+for _name in TableIO.__abstractmethods__:
+    setattr(_Plain, _name, lambda self, *a, _name=_name, **kw: getattr(self.other, _name)(*a, **kw))
+_Plain.__abstractmethods__ = frozenset()
+
+
+def q46_count(spark, sf_dir):
+    """A count reads keys alone."""
+    return _dense(spark, sf_dir)[0].read(["value"], materialized=False).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
 
@@ -386,8 +499,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT ts, user_id, CASE WHEN user_id % 3 <> 0 AND {_IN} AND value > 50 THEN 0 WHEN user_id % 3 <> 0 THEN value ELSE -value END AS value
             FROM events WHERE user_id % 3 <> 0 OR {_IN}""",
         "q32_restore_version": value,
-        "q33_arrow_upload": value,
+        "q33_arrow_upload": "SELECT date_trunc('day', ts) AS ts, event_type, count(*) AS n FROM events GROUP BY ALL",
         "q34_compaction": value,
         "q35_streaming_ingest": value,
+        "q36_touched_files": f"""
+            WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events WHERE {_IN} AND user_id % 5 > 0)
+            SELECT ts, user_id, CASE WHEN ts NOT BETWEEN lo AND hi THEN value WHEN user_id % 5 > 0 THEN value + 0.5 END AS value FROM events CROSS JOIN b""",
+        "q37_shared_versions": f"SELECT ts, user_id, value, 0 AS version FROM events UNION ALL SELECT ts, user_id, CASE WHEN {_IN} THEN -value ELSE value END, 1 FROM events",
+        "q38_many_groups": f"SELECT ts, user_id, {', '.join(f'CASE WHEN user_id % 6 >= {k} THEN value + {k} END AS v{k}, CASE WHEN user_id % 6 >= {k} THEN event_type || {k} END AS t{k}' for k in range(6))} FROM events",
+        "q39_key_lookup": f"{value} WHERE user_id IN (3, 7) AND ts >= TIMESTAMP '2024-01-08'",
+        "q40_writers_at_once": f"SELECT ts, user_id, {', '.join(f'CASE WHEN event_type = {chr(39)}{k}{chr(39)} THEN value END AS {k}_value' for k in ('click', 'view', 'purchase'))} FROM events WHERE event_type IN ('click', 'view', 'purchase')",
+        "q41_unpublished_upload": doubled,
+        "q42_ahead_append": value,
+        "q43_table_marks": "SELECT max(ts) AS last_updated, CAST(2 AS BIGINT) AS updates, CAST(1 AS BIGINT) AS tables FROM events",
+        "q44_modifier": "SELECT ts, user_id, value, value / 2 AS half FROM events WHERE value > 50",
+        "q45_plain_storage": doubled,
+        "q46_count": "SELECT count(*) AS n FROM events",
         "q29_integer_key": "SELECT d.doc_id, d.lang, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)",
     }

@@ -9,22 +9,28 @@ aren't read.
 Files are immutable and lie in ``<root>/_data``; several tables may list one file, each reading the columns of
 its own schema. A frame is therefore written once, however many tables it goes to. Row counts and key ranges
 stand with each file; dates and times in them are whole numbers, that no time zone enters into.
+
+Commits of several tables become one by the lake's own log, ``<root>/_lake/_log``: a commit there names the versions
+of the tables that it changes, every ``WHOLE``-th those of all. Tables that it names are read in these versions, so what
+a writer that was killed has left behind is never seen.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
 import time
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.layout import z_order
 from ..schemas import ConcurrentWriteError
 from .shared import literal, local_frame, micros, whole
 
@@ -39,6 +45,9 @@ def codec(name: str) -> str:
 
 
 INLINE, FANOUT, FULL = 64, 32, 2048
+#: The name of the lake's own log, of whose commits every so many-th names all tables.
+LAKE, WHOLE = "_lake", 32
+_PUTTING = threading.Lock()
 #: The newest manifests that a process remembers.
 REMEMBERED = 512
 
@@ -74,7 +83,7 @@ class TableIO(ABC):
         """
         return None, self.scan(target, ranges=ranges), self.scan(other, ranges=ranges)
 
-    def compact(self, targets: Iterable[str], order: Iterable[str] = (), below: float = 0.5, least: int = 2) -> dict[str, int]:
+    def compact(self, targets: Iterable[str], order: Iterable[str] = (), below: float = 0.5, least: int = 2, by: Iterable[str] = ()) -> dict[str, int]:
         """Join small files, where the storage has such; how many there were, by table."""
         return {t: 0 for t in targets}
 
@@ -101,6 +110,28 @@ class TableIO(ABC):
         """A bound on the rows that a scan of these ranges gives, where it is known without reading them."""
         return None
 
+    def pin(self) -> None:
+        """See, from now on, what the lake's newest commit shows; between begin and publish or undo nothing changes."""
+
+    def begin(self) -> None:
+        """Begin writes that are to be seen together."""
+
+    def publish(self, targets: Iterable[str]) -> None:
+        """Show what was written to these tables since :meth:`begin`, all at once.
+
+        ConcurrentWriteError if something else was published since.
+        """
+
+    def undo(self, before: dict[str, int | None]) -> None:
+        """Give up writes since :meth:`begin`; ``before`` has the versions of the tables before them."""
+        for target, version in reversed(before.items()):
+            if self.version(target) is not None:
+                self.restore_to_version(target, version)
+
+    def versions_at(self, timestamp: dt.datetime) -> dict[str, int] | None:
+        """The version of each table that was seen at a time; None where only the tables themselves can tell."""
+        return None
+
     @abstractmethod
     def write(self, df: DataFrame, target: str, mode: str = "append", stats: Iterable[str] = ()) -> int: ...
 
@@ -151,6 +182,10 @@ class ParquetTableIO(TableIO):
         self._jvm = spark._jvm
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
         self._newest: dict[str, int] = {}
+        #: The versions in which tables are seen, by the lake's commit of that number; None: there is none.
+        self.view: dict[str, int] | None = None
+        self.seen: int | None = None
+        self.writing: dict[str, int] | None = None
         self._manifests: dict[str, list[dict]] = {}
 
     # files
@@ -221,20 +256,21 @@ class ParquetTableIO(TableIO):
         if last is None:
             raise FileNotFoundError(f"no table at {self.root}/{target}")
         if version is None and timestamp is not None:
-            # times of commits ascend
-            low, high, found = 0, last, None
-            while low <= high:
-                mid = (low + high) // 2
-                c = self._load(target, mid)
-                low, high, found = (mid + 1, high, c) if c.timestamp_us <= micros(timestamp) else (low, mid - 1, found)
+            if (of := (self.versions_at(timestamp) or {}).get(target)) is not None:
+                return self._load(target, of)
+            found = _last_before(last, micros(timestamp), lambda v: self._load(target, v).timestamp_us)
             if found is None:
                 raise ValueError(f"{target} has no version as old as {timestamp}")
-            return found
-        return self._load(target, last if version is None else version)
+            return self._load(target, found)
+        return self._load(target, (self.view or {}).get(target, last) if version is None else version)
 
     def files(self, target: str, c: Commit, ranges: dict | None = None) -> list[dict]:
-        """A version's files that may hold rows of ``ranges``, in the order in which they were added."""
-        bounds = {k: _bounds(self.spark, r, c.schema[k].dataType) for k, r in (ranges or {}).items()}
+        """A version's files that may hold rows of ``ranges``, in the order in which they were added.
+
+        A range is a pair of bounds, or a list of values.
+        """
+        one = lambda k, r: _bounds(self.spark, r, c.schema[k].dataType)
+        bounds = {k: [one(k, (v, v)) for v in r] if isinstance(r, list) else [one(k, r)] for k, r in (ranges or {}).items()}
         found = [f for m in c.manifests if _overlaps(m, bounds) for f in self._entries(target, m)]
         return [f for f in (*found, *c.tail) if _overlaps(f, bounds)]
 
@@ -267,18 +303,72 @@ class ParquetTableIO(TableIO):
         return self.snapshot(target).schema
 
     def _publish(self, target: str, op: str, schema: T.StructType, tail: list[dict], manifests: list[dict], before: Commit | None) -> int:
-        now = time.time_ns() // 1000
-        commit = Commit(before.version + 1 if before else 0, max(now, before.timestamp_us + 1) if before else now, op, schema, *self._listed(target, tail, manifests))
-        p = self._path(f"{self._log(target)}/{commit.version:020d}.json")
+        now, last = time.time_ns() // 1000, before.version if before else None
+        if before and target in (self.view or {}):
+            last = self.version(target)  # of what others left unpublished only the number is taken
+        stamp = (before if last == before.version else self._load(target, last)).timestamp_us if before else 0
+        commit = Commit(0 if last is None else last + 1, max(now, stamp + 1), op, schema, *self._listed(target, tail, manifests))
+        self._put(target, commit.version, commit.to_json())
+        if self.view is not None and (self.writing is not None or target in self.view):
+            self.view[target] = commit.version
+        return commit.version
+
+    def _put(self, target: str, version: int, text: str) -> None:
+        """Write a commit, if there is none of that version: aside, and renamed, so readers see all of it or nothing."""
+        p = self._path(f"{self._log(target)}/{version:020d}.json")
         fs = self._fs(p)
-        # written aside and renamed without overwriting: readers see a whole commit or none
         aside = f"{self._log(target)}/.{uuid.uuid4().hex}"
-        self._create(aside, commit.to_json())
-        if fs.exists(p) or not fs.rename(self._path(aside), p):
-            fs.delete(self._path(aside), False)
-            raise ConcurrentWriteError(f"version {commit.version} of {target} is there already")
-        self._newest[target] = commit.version
-        return commit.version
+        self._create(aside, text)
+        with _PUTTING:  # a local file system may overwrite in a rename
+            if fs.exists(p) or not fs.rename(self._path(aside), p):
+                fs.delete(self._path(aside), False)
+                raise ConcurrentWriteError(f"version {version} of {target} is there already")
+        self._newest[target] = version
+
+    # the lake's commits
+
+    def _lake(self, version: int) -> dict[str, int]:
+        """The version of each table as of a commit of the lake."""
+        of: dict[str, int] = {}
+        while True:
+            c = json.loads(self._read(f"{self._log(LAKE)}/{version:020d}.json"))
+            of = c["tables"] | of
+            if c["whole"]:
+                return of
+            version -= 1
+
+    def pin(self) -> None:
+        if self.writing is None and (last := self.version(LAKE)) != self.seen:
+            self.view, self.seen = None if last is None else self._lake(last), last
+
+    def begin(self) -> None:
+        self.pin()
+        self.view = dict(self.view or {})
+        self.writing = dict(self.view)
+
+    def publish(self, targets: Iterable[str]) -> None:
+        version = 0 if self.seen is None else self.seen + 1
+        whole = version % WHOLE == 0
+        tables = self.view if whole else {t: self.view[t] for t in targets}
+        stamp = json.loads(self._read(f"{self._log(LAKE)}/{self.seen:020d}.json"))["timestamp_us"] if version else 0
+        self._put(LAKE, version, json.dumps({"version": version, "timestamp_us": max(time.time_ns() // 1000, stamp + 1), "whole": whole, "tables": tables}))
+        self.seen, self.writing = version, None
+
+    def undo(self, before: dict[str, int | None]) -> None:
+        """New tables go; of others the versions that were not published are never seen."""
+        self.view, self.writing = self.writing, None
+        if self.seen is None:
+            self.view = None
+            super().undo(before)
+        for target in [t for t, version in before.items() if version is None and self.exists(t)]:
+            self.restore_to_version(target, None)
+
+    def versions_at(self, timestamp: dt.datetime) -> dict[str, int] | None:
+        last = self.version(LAKE)
+        if last is None:
+            return None
+        found = _last_before(last, micros(timestamp), lambda v: json.loads(self._read(f"{self._log(LAKE)}/{v:020d}.json"))["timestamp_us"])
+        return None if found is None else self._lake(found)
 
     # reading
 
@@ -371,7 +461,7 @@ class ParquetTableIO(TableIO):
         here = self.snapshot(target)
         names = [*here.schema.names, *(c for c in df.columns if c not in here.schema.names)]
         known = _summary(staged)
-        extent = {k: (known["min"][k], known["max"][k]) for k in on if k in known["min"] and k in here.schema.names and here.schema[k].dataType == kind[k].dataType}
+        extent = {k: [(known["min"][k], known["max"][k])] for k in on if k in known["min"] and k in here.schema.names and here.schema[k].dataType == kind[k].dataType}
         near = [f for f in self.files(target, here) if _overlaps(f, extent)] if staged else []
         met = [F.col(f"target.`{k}`") == F.col(f"source.`{k}`") for k in on]
         hit = F.coalesce(F.expr(matched_predicate), F.lit(False)) if matched_predicate else F.lit(True)
@@ -458,14 +548,16 @@ class ParquetTableIO(TableIO):
         fields = [T.StructField(f.name, f.dataType, f.nullable, {**(f.metadata or {}), **notes[f.name]}) if f.name in notes else f for f in c.schema.fields]
         self._publish(target, "annotate", T.StructType(fields), c.tail, c.manifests, c)
 
-    def compact(self, targets: Iterable[str], order: Iterable[str] = (), below: float = 0.5, least: int = 2) -> dict[str, int]:
+    def compact(self, targets: Iterable[str], order: Iterable[str] = (), below: float = 0.5, least: int = 2, by: Iterable[str] = ()) -> dict[str, int]:
         """Join files of less than ``below`` of the target size; how many there were, by table.
 
+        With ``by`` files of any size are written anew, laid out by range of that column, or in a Z-order of several.
+
         Files that the same tables list are joined, where there are ``least`` of them, to files that these tables
         list: what tables share they go on sharing. Rows are laid out by range of ``order``, so that ranges still
         prune. Older versions keep their files.
         """
-        order, snaps = list(order), {t: self.snapshot(t) for t in targets}
+        order, by, snaps = list(order), list(by), {t: self.snapshot(t) for t in targets}
         lists = {t: self.files(t, c) for t, c in snaps.items()}
         owners: dict[str, list[str]] = {}
         for t, files in lists.items():
@@ -474,17 +566,22 @@ class ParquetTableIO(TableIO):
         classes: dict[tuple, dict[str, dict]] = {}
         for t, files in lists.items():
             for f in files:
-                if f["bytes"] < below * self.target_file_size:
+                if by or f["bytes"] < below * self.target_file_size:
                     classes.setdefault(tuple(owners[f["path"]]), {})[f["path"]] = f
         new: dict[str, list[dict]] = {t: [] for t in snaps}
         gone: set[str] = set()
         for own, some in classes.items():
             fields = {f.name: f for t in own for f in snaps[t].schema.fields}
-            if len(some) < least or any(fields[f.name].dataType != f.dataType for t in own for f in snaps[t].schema.fields):
+            if len(some) < (1 if by else least) or any(fields[f.name].dataType != f.dataType for t in own for f in snaps[t].schema.fields):
                 continue
             parts = max(1, round(sum(f["bytes"] for f in some.values()) / self.target_file_size))
             df = self._frame(list(some.values()), T.StructType(list(fields.values())))
-            df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else df.coalesce(parts)
+            if by:
+                along = ["_z"] if len(by) > 1 else by
+                laid = df.withColumn("_z", z_order(df, by)) if len(by) > 1 else df
+                df = laid.repartitionByRange(parts, *along).sortWithinPartitions(*along).drop("_z")
+            else:
+                df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else df.coalesce(parts)
             joined = [f for f in self.stage(df, order) if f["rows"] != 0]
             for t in own:
                 new[t] += joined
@@ -504,10 +601,18 @@ class ParquetTableIO(TableIO):
         """
         limit = micros(older_than)
         used: set[str] = set()
-        for target in [n for n in self._names(self.root) if n != "_data" and self.exists(n)]:
+        newest = self.version(LAKE)
+        seen: dict[str, set[int]] = {}  # versions that the lake has shown since
+        if newest is not None:
+            time_of = lambda v: json.loads(self._read(f"{self._log(LAKE)}/{v:020d}.json"))["timestamp_us"]
+            for v in range(_last_before(newest, limit, time_of) or 0, newest + 1):
+                for t, n in self._lake(v).items():
+                    seen.setdefault(t, set()).add(n)
+        for target in [n for n in self._names(self.root) if n[:1] != "_" and self.exists(n)]:
             history = self.history(target)
             first = max((i for i, c in enumerate(history) if c.timestamp_us <= limit), default=0)
-            used |= {f["path"].rpartition("/")[0] for c in history[first:] for f in self.files(target, c)}
+            kept = [*history[first:], *(c for c in history[:first] if c.version in seen.get(target, ()))]
+            used |= {f["path"].rpartition("/")[0] for c in kept for f in self.files(target, c)}
         base = self._path(f"{self.root}/_data")
         fs = self._fs(base)
         gone = [x.getPath() for x in (fs.listStatus(base) if fs.exists(base) else []) if f"_data/{x.getPath().getName()}" not in used and x.getModificationTime() * 1000 < limit]
@@ -520,6 +625,15 @@ class ParquetTableIO(TableIO):
         return {n: {"comment": fields.get(n, {}).get("comment"), "tags": fields.get(n, {}).get("tags", [])} for n in names}
 
 
+def _last_before(last: int, us: int, time_of: Callable[[int], int]) -> int | None:
+    """The last version, of 0 to ``last``, whose time is ``us`` at most; their times ascend."""
+    low, high, found = 0, last, None
+    while low <= high:
+        mid = (low + high) // 2
+        low, high, found = (mid + 1, high, mid) if time_of(mid) <= us else (low, mid - 1, found)
+    return found
+
+
 def _summary(files: list[dict]) -> dict:
     """Rows and key ranges of several files; a range is known if all of them know theirs."""
     keys = set.intersection(*[{k for k, v in f["min"].items() if v is not None and f["max"].get(k) is not None} for f in files]) if files else set()
@@ -557,22 +671,23 @@ def _bounds(spark: SparkSession, r: tuple, kind: T.DataType, wide: int = 1) -> t
     return one(r[0], -wide), one(r[1], wide)
 
 
-def _overlaps(f: dict, bounds: dict) -> bool:
-    for key, (low, high) in bounds.items():
-        a, b = f["min"].get(key), f["max"].get(key)
-        if a is None or b is None:
-            continue
-        try:
-            if (low is not None and b < low) or (high is not None and a > high):
-                return False
-        except TypeError:  # a bound of another type is left to the filter
-            continue
-    return True
+def _overlaps(f: dict, bounds: dict[str, list[tuple]]) -> bool:
+    """Whether a file or manifest may have rows in one of each key's ranges."""
+    return all(any(_meets(f["min"].get(key), f["max"].get(key), *r) for r in some) for key, some in bounds.items())
+
+
+def _meets(a, b, low, high) -> bool:
+    if a is None or b is None:
+        return True
+    try:
+        return not ((low is not None and b < low) or (high is not None and a > high))
+    except TypeError:  # a bound of another type is left to the filter
+        return True
 
 
 def _extent(f: dict) -> dict:
     """A file's key ranges, as bounds."""
-    return {k: (f["min"][k], f["max"].get(k)) for k in f["min"]}
+    return {k: [(f["min"][k], f["max"].get(k))] for k in f["min"]}
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

@@ -482,3 +482,158 @@ def test_swaps_of_long_lists_keep_manifests(spark, lake):
     assert len(io.files("long", io.snapshot("long"))) == 3000
     io.commit("copy", [file(n) for n in range(6000, 6100)], kind, "append")
     assert len(io.files("copy", io.snapshot("copy"))) == 3100
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("materialized", [True, False])
+def test_any_number_of_groups_meet_in_one_exchange(spark, lake, monkeypatch, materialized):
+    rng = random.Random(9)
+    want = {}
+    for g in range(5):
+        rows = [(i, s, rng.randrange(100), None if i % 3 else f"t{i}") for i in range(30) for s in "ab" if rng.random() < 0.7]
+        lake.add_features(frame(spark, rows, **{f"x{g}": L, f"t{g}": T.StringType()}))
+        for i, s, x, t in rows:
+            want.setdefault((i, s), {}).update({f"x{g}": x, f"t{g}": t})
+    lake.add_sparse_features(frame(spark, [(3, "a", 1), (99, "a", 2)], s=L))
+    want.setdefault((3, "a"), {})["s"] = 1
+    want[99, "a"] = {"s": 2}
+    names = [f"{c}{g}" for g in range(5) for c in "xt"] + ["s"]
+    want = {k: tuple(v.get(n) for n in names) for k, v in want.items()}
+    assert values(lake.read(names, materialized=materialized), *names) == want  # few rows: sent to the index
+    monkeypatch.setattr("aligned_store.lake.FEW_ROWS", 0)
+    df = lake.read(names, materialized=materialized)
+    assert "Join" not in plan_of(df) and plan_of(df).count("Exchange ") == 1
+    assert values(df, *names) == want
+    if materialized:
+        assert [(r.timestamp, r.symbol) for r in df.collect()] == sorted((day(i), s) for i, s in want)
+    part = lake.read(names, start=day(4), end=day(6), where={"symbol": ["b"]}, materialized=materialized)
+    assert values(part, *names) == {k: v for k, v in want.items() if 4 <= k[0] <= 6 and k[1] == "b"}
+
+
+def test_keys_are_deduplicated_in_the_range_exchange(spark, lake):
+    from aligned_store.operators.deltas import preprocess
+
+    df = frame(spark, [(i % 7, "a", i) for i in range(50)], x=L).coalesce(1)
+    clean = preprocess(df, ["timestamp", "symbol"])
+    assert plan_of(clean).count("Exchange ") == 1 and "rangepartitioning" in plan_of(clean)
+    assert values(clean, "x") == {(i, "a"): i for i in range(7)}
+
+
+def test_reads_of_a_secondary_key_open_few_files(spark, tmp_path):
+    lake = FeatureLake(spark, f"file://{tmp_path}/z", target_file_size=16 << 10).initialize()
+    rng = random.Random(4)
+    rows = [(i % 365, f"s{i % 64:02d}", rng.random()) for i in range(12_000)]
+    want = {(i, s): x for i, s, x in reversed(rows)}
+    lake.add_features(frame(spark, rows, x=D))
+    lake.compact(["x"], by=["timestamp", "symbol"])
+    everything = lake.read(["x"], materialized=False)
+    n = len(everything.inputFiles())
+    one = lake.read(["x"], where={"symbol": ["s07"]}, materialized=False)
+    month = lake.read(["x"], start=day(30), end=day(40), materialized=False)
+    assert n >= 9 and len(one.inputFiles()) <= n / 2 and len(month.inputFiles()) <= n / 2
+    assert values(one, "x") == {k: v for k, v in want.items() if k[1] == "s07"}
+    assert values(month, "x") == {k: v for k, v in want.items() if 30 <= k[0] <= 40}
+    lake.compact(["x"], by=["symbol"])
+    two = lake.read(["x"], where={"symbol": ["s07", "s50"]}, materialized=False)
+    assert len(everything.inputFiles()) >= 9 and len(two.inputFiles()) <= 4
+    assert values(two, "x") == {k: v for k, v in want.items() if k[1] in ("s07", "s50")}
+    assert values(lake.read(["x"]), "x") == want
+    for wrong in ({"timestamp": [day(1)]}, {"x": [1.0]}):
+        with pytest.raises(ValueError, match="secondary"):
+            lake.read(["x"], where=wrong)
+    with pytest.raises(ValueError, match="sort keys"):
+        lake.compact(["x"], by=["x"])
+
+
+def test_places_among_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from aligned_store.operators.layout import at_most
+
+    cuts = [1, 1, 4, 9]
+    df = spark.createDataFrame([(v,) for v in (None, 0, 1, 3, 4, 8, 9, 99)], "v int")
+    got = [r[0] for r in df.select(at_most(F.array(*map(F.lit, cuts)), F.col("v"), 3)).collect()]
+    assert got == [0, 0, 2, 2, 3, 3, 4, 4]
+
+
+def test_reads_fetch_the_metadata_of_what_is_asked_for(spark, lake):
+    from aligned_store.plans.catalog import latest_per_feature
+
+    lake.add_features(frame(spark, [(0, "a", 1, 2, 3)], x=L, y=L, z=L))
+    of = {n: next(r for r in lake.feature_metadata_frame().collect() if r.feature_name == n) for n in "xyz"}
+    old = spark.range(2000).selectExpr("concat('f', id) AS feature_name", "explode(sequence(0L, 9L)) AS version", "'t' AS table_addr", "'o' AS owner", "'feature' AS signal_type", "CAST(NULL AS STRING) AS feature_params")
+    lake.io.write(old, lake.feature_metadata)
+    found = latest_per_feature(lake.feature_metadata_frame(), ["x", "y", "z", "f7", "nothing"])
+    assert {n: found[n] for n in "xyz"} == of and found["f7"].version == 9 and set(found) == {*"xyz", "f7"}
+    assert len(latest_per_feature(lake.feature_metadata_frame(), [f"f{i}" for i in range(900)])) == 900
+    assert values(lake.read(["x", "z"]), "x", "z") == {(0, "a"): (1, 3)}
+    assert values(lake.read(FeatureMetadata(["z"], [0]).get_metadata_frame(lake)), "z") == {(0, "a"): 3}
+
+
+def test_readers_see_an_upload_whole_or_not_at_all(spark, lake):
+    lake.add_features(frame(spark, [(0, "a", 1), (1, "a", 2)], x=L))
+    reader, seen = FeatureLake(spark, lake.base_path), []
+    publish = lake.io.publish
+
+    def between_commits(targets):  # data, index and metadata tables are written, but not shown
+        seen.append((values(reader.read(["x"]), "x"), reader.feature_metadata_frame().count(), reader.index_frame().count()))
+        publish(targets)
+
+    lake.io.publish = between_commits
+    lake.add_features(frame(spark, [(1, "a", 20, 0), (2, "a", 30, 0)], x=L, y=L), overlap_mode="merge")
+    assert seen == [({(0, "a"): 1, (1, "a"): 2}, 1, 2)]
+    assert values(reader.read(["x", "y"]), "x", "y") == {(0, "a"): (1, None), (1, "a"): (20, 0), (2, "a"): (30, 0)}
+
+
+def test_a_writer_that_is_killed_leaves_nothing_to_see(spark, lake):
+    lake.add_features(frame(spark, [(0, "a", 1), (1, "a", 2)], x=L))
+    before = dt.datetime.now(dt.UTC)
+
+    class Killed(BaseException):
+        pass
+
+    doomed = FeatureLake(spark, lake.base_path)
+
+    def die(*_):
+        raise Killed
+
+    doomed.io.publish, doomed.io.undo = die, lambda before: None
+    with pytest.raises(Killed):
+        doomed.add_features(frame(spark, [(0, "a", -1), (5, "a", -5)], x=L), overlap_mode="merge")
+    for one in (lake, FeatureLake(spark, lake.base_path)):
+        assert values(one.read(["x"]), "x") == {(0, "a"): 1, (1, "a"): 2}
+    lake.add_features(frame(spark, [(1, "a", 3), (2, "a", 4)], x=L), overlap_mode="merge")
+    want = {(0, "a"): 1, (1, "a"): 3, (2, "a"): 4}
+    assert values(FeatureLake(spark, lake.base_path).read(["x"]), "x") == want
+    assert lake.io.vacuum(dt.datetime.now(dt.UTC) + dt.timedelta(hours=1)) >= 0
+    assert values(lake.read(["x"]), "x") == want
+    lake.restore_to_timestamp(before)
+    assert values(FeatureLake(spark, lake.base_path).read(["x"]), "x") == {(0, "a"): 1, (1, "a"): 2}
+
+
+def test_writers_at_one_time_build_on_each_other(spark, lake):
+    from concurrent.futures import ThreadPoolExecutor
+
+    lake.add_features(frame(spark, [(0, "a", 0)], x=L))
+
+    def write(k):
+        FeatureLake(spark, lake.base_path).add_features(frame(spark, [(k, "a", k)], **{f"y{k}": L}))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, [1, 2, 3]))
+    got = values(lake.read(["x", "y1", "y2", "y3"]), "x", "y1", "y2", "y3")
+    assert got == {(0, "a"): (0, None, None, None), (1, "a"): (None, 1, None, None), (2, "a"): (None, None, 2, None), (3, "a"): (None, None, None, 3)}
+    assert lake.transaction_log_frame().where("status = 'success'").count() == 4
+
+
+def test_commits_of_the_lake_name_all_tables_now_and_then(spark, lake, monkeypatch):
+    monkeypatch.setattr("aligned_store.sources.table_io.WHOLE", 3)
+    for i in range(5):
+        lake.add_index_rows(frame(spark, [(i, "a")]))
+    fresh = FeatureLake(spark, lake.base_path)
+    assert fresh.index_frame().count() == 5
+    assert fresh.io.view.keys() == {lake.index, lake.feature_metadata, lake.table_metadata}
+    assert fresh.io._lake(3) == lake.io._lake(3) and fresh.io.seen == 5
