@@ -41,7 +41,10 @@ _TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscri
 #: Ends of templates that aren't in comments, scripts or styles.
 _TEMPLATE_END = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|(</template)(?=[\s/>])", re.S | re.I)
 #: Elements whose content is no text, up to their first end tag; and what may stand in head without ending it.
-_HIDDEN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "noscript", "title", "foreignobject")}
+_HIDDEN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "noscript", "title", "foreignobject", "iframe", "noframes", "noembed")}
+#: Elements whose content is text without markup, and whether references stand in it.
+_RAW = {"textarea": True, "xmp": False}
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in _RAW}
 _IN_HEAD = frozenset("html head title base basefont bgsound link meta script style template noscript".split())
 #: What ends an open svg, besides blocks.
 _ENDS_SVG = BLOCK | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
@@ -115,15 +118,16 @@ def blocks(html: str, root: Step | None = None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if text:
-            whole = _SPACE.sub(" ", unescape("".join(text))).strip()
+            whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
                 out.append(Block(stack[-1] if stack else root, whole, linked))
             text.clear()
         linked = 0
 
-    def add(piece: str) -> None:
+    def add(piece: str, references: bool = True) -> None:
+        """Text between tags; a reference is decoded where it stands, so none forms across a tag or comment."""
         nonlocal linked
-        text.append(piece)
+        text.append(unescape(piece) if references else piece)
         if anchor:
             linked += len(piece)
 
@@ -132,7 +136,7 @@ def blocks(html: str, root: Step | None = None) -> list[Block]:
     def after(name: str, at: int) -> int:
         """Where the next end tag of that name ends, or -1."""
         if name not in found or 0 <= found[name] <= at:
-            m = _HIDDEN[name].search(html, at)
+            m = (_HIDDEN.get(name) or _RAW_END[name]).search(html, at)
             found[name] = m.end() if m else -1
         return found[name]
 
@@ -165,6 +169,8 @@ def blocks(html: str, root: Step | None = None) -> list[Block]:
             if to < 0 and name == "title":
                 to = html.find("<", at)
                 to = len(html) if to < 0 else to
+            if name in BLOCK and not template and not svg and not head:
+                flush()
             at = max(at, to)
             continue
         if name == "template":
@@ -196,7 +202,14 @@ def blocks(html: str, root: Step | None = None) -> list[Block]:
         if name == "head":
             head = not end
             continue
-        if name == "br":
+        if name in _RAW and not end and (to := after(name, at)) >= 0:
+            flush()
+            stack.append((stack[-1] if stack else root).enter((name,)))
+            add(html[at : html.rindex("</", at, to)], _RAW[name])
+            flush()
+            stack.pop()
+            at = to
+        elif name == "br":
             text.append(" ")
         elif name == "a":
             anchor = 0 if end else 1
