@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.layout import at_most
 from ..sources.shared import local_frame
 from .common import lean_batches
 
 CLASSES, EMPTY, LEVELS = 64, 0xFF, (2, 3, 4)
-#: Rows for each range by which the ranges are cut.
-SAMPLE = 40
+#: Rows for each range by which the ranges are cut, and the bytes of text that make a range, if there are more than of shuffles.
+SAMPLE, RANGE_BYTES = 40, 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 #: label of a symbol below 64 after one below 64
@@ -136,20 +137,24 @@ def _rows(chunk: list[tuple[object, str, str]]) -> dict[str, list]:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 18) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    Texts are shuffled once, to ranges of (doc_id, hash, a random number); the first document of each range
+    Texts are shuffled once, to ranges of (doc_id, hash, a random number), of about ``RANGE_BYTES`` or as many as the
+    session has shuffle partitions; the first document of each range
     also goes to the range before it, as what follows its last. The ranges are cut by a bounded sample of ids and
     hashes, so neither one id nor one row repeated without end is left to one task. A task holds a chunk of texts
     at a time.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     # the number only tells equal rows apart, for which it doesn't matter which is which
     keyed = base.select("doc_id", "text", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("r")).alias("k"))
     marks = keyed.select("k").orderBy(F.xxhash64("k")).limit(SAMPLE * ranges).orderBy("k").collect()
     kind = keyed.schema["k"].dataType
     step = max(1, -(-len(marks) // ranges))
-    part = _search(F.col("k"), [F.lit(m.k.i).cast(kind["i"].dataType) for m in marks[step::step]], [(m.k.h, m.k.r) for m in marks[step::step]], kind)
+    # one array that is folded to a literal, and a search over it that is the same code for any number of cuts
+    cuts = [F.struct(F.lit(m.k.i).cast(kind["i"].dataType).alias("i"), F.lit(m.k.h).alias("h"), F.lit(m.k.r).alias("r")).cast(kind) for m in marks[step::step]]
+    part = at_most(F.array(*cuts), F.col("k"), len(cuts).bit_length()) if cuts else F.lit(0)
     placed = keyed.withColumn("p", part)
     firsts = {r.p: r.k for r in placed.select("p", "k").groupBy("p").agg(F.min("k").alias("k")).collect()}
     order = sorted(firsts)
@@ -197,16 +202,3 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     lean_batches(spark)
     return dealt.mapInArrow(run, schema)
-
-
-def _search(key: Column, ids: list[Column], rest: list[tuple[int, int]], kind: T.StructType) -> Column:
-    """Binary search over sorted cuts as one nested expression: how many are at most ``key``. Null ids come first."""
-    cuts = [F.struct(i.alias("i"), F.lit(h).alias("h"), F.lit(r).alias("r")).cast(kind) for i, (h, r) in zip(ids, rest, strict=True)]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(cuts))

@@ -218,3 +218,38 @@ def test_odd_vectors(spark):
     assert [(r.whitened, r.explained, r.identity_error, r.deviation) for r in one] == [(None, 0.0, None, 0)] * 2
     with pytest.raises(ValueError):
         whitening.whiten(spark.createDataFrame([("a", [1.0], 1, "x"), ("b", [1.0, 2.0], 1, "x")], schema))
+
+
+# earlier operators
+
+
+def test_references_are_decoded_where_they_stand_and_raw_text_has_no_markup():
+    from aligned_store.llm.html import blocks
+
+    def texts(html):
+        return [b.text for b in blocks(html)]
+
+    assert texts("<p>a&lt<b>;</b>b</p>") == ["a<;b"]
+    assert texts("<p>x &am<!-- c -->p; y</p>") == ["x &amp; y"]
+    assert texts("<p>AT&am<b>p;</b>lt; x") == ["AT&amp;lt; x"]
+    assert texts("<p>a</p><iframe><p>no</p></iframe><noframes><p>no</noframes>b&#32;&amp; c") == ["a", "b & c"]
+    assert texts("<textarea><p>x &amp; y</p></textarea><p>z") == ["<p>x & y</p>", "z"]
+    assert texts("<xmp><b>raw &amp;</b></xmp>z") == ["<b>raw &amp;</b>", "z"]
+    assert texts("<iframe>open <p>kept<textarea>and <b>this") == ["open", "kept", "and this"]
+
+
+def test_fingerprints_over_a_thousand_ranges(spark):
+    from aligned_store.llm import phrases
+
+    rows = [(None if i % 50 == 0 else i % 300, f"text {i} " * (i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = df.transform(phrases.document_fingerprints).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1000)
+    try:
+        found = phrases.document_fingerprints(df)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE") < 5  # the search is one expression
+        many = found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, few)) == sorted(map(str, many))
