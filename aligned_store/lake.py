@@ -182,7 +182,7 @@ class FeatureLake(BaseFeatureLake):
         rest = [c for c in df.columns if c not in self.keys]
         cast = df.select(*[F.col(f"`{k}`").cast(self.index_schema[k].dataType).alias(k) for k in self.keys], *[F.col(f"`{c}`") for c in rest])
         clean = preprocess(cast, self._order())
-        files = [f for f in self.io.stage(clean, self.keys) if f["rows"] != 0]
+        files = [f for f in self.io.stage(clean, self.keys, like=cast) if f["rows"] != 0]
         if not files:
             raise ValueError("Provided dataframe has no rows!")
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in clean.schema.fields])

@@ -20,6 +20,8 @@ STRATEGIES = ("backward", "forward", "nearest")
 HOT_ROWS = 2_000_000
 #: Into so many blocks (a power of two).
 BLOCKS = 256
+#: Rows of a sample for each block, where cuts come from one.
+PICKED = 32
 _UNITS = {"ns": 1e-3, "us": 1, "ms": 10**3, "s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86400 * 10**6, "w": 7 * 86400 * 10**6}
 
 
@@ -58,7 +60,7 @@ def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values:
     a = left.select(*by, p, whole.alias("_own"), F.lit(None).cast(shape).alias("_right"), F.lit(True).alias("_left"))
     b = right.select(*by, p, F.lit(None).cast(kept).alias("_own"), F.struct(F.col(p).alias("_p"), *[F.col(f"`{v}`") for v in values]).cast(shape).alias("_right"), F.lit(False).alias("_left"))
     both = a.unionByName(b)
-    split = (rows is None or rows > hot_rows) and isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    split = (rows is None or rows > hot_rows) and isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType))
     if split:
         both = blocks(both, p, by, kind, hot_rows)
 
@@ -86,14 +88,22 @@ def as_of_join(left: DataFrame, right: DataFrame, p: str, by: list[str], values:
 def blocks(both: DataFrame, p: str, by: list[str], kind: T.DataType, hot_rows: int) -> DataFrame:
     """With _block, and for the blocks of hot groups the nearest right rows _before and _after the block.
 
-    A hot group's blocks are cut at ``BLOCKS`` quantiles of its ``p``, so they hold about as many rows each, however
+    A hot group's blocks are cut at ``BLOCKS`` quantiles of its ``p`` (of texts: of a sample), so they hold about as many rows each, however
     crowded; rows of equal ``p`` are in one. No side is hinted as small: the tables of hot groups and blocks
     have ``BLOCKS`` rows for ``hot_rows`` rows at most, and adaptive execution sees their size.
     """
     hot = both.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     value = whole(F.col(p), kind)
-    cuts = F.percentile_approx(value, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)
-    sizes = _left_join(both, hot, by).where("_n is not null").groupBy(*by).agg(cuts.alias("_cuts"))
+    near = _left_join(both, hot, by).where("_n is not null")
+    if isinstance(kind, T.StringType):  # texts have no quantiles: cuts are evenly spaced in a sorted sample of about as many rows of each group
+        share = F.lit(PICKED * BLOCKS << 20) / F.col("_n")
+        picked = near.where(F.pmod(F.xxhash64(*by, p, F.monotonically_increasing_id()), F.lit(1 << 20)) < share)
+        seen = picked.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_seen"))
+        at = lambda k: F.element_at("_seen", (F.floor(k * F.size("_seen") / BLOCKS) + 1).cast("int"))
+        sizes = seen.where(F.size("_seen") > 0).withColumn("_cuts", F.transform(F.sequence(F.lit(1), F.lit(BLOCKS - 1)), at)).drop("_seen")
+    else:
+        cuts = F.percentile_approx(value, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)
+        sizes = near.groupBy(*by).agg(cuts.alias("_cuts"))
     steps = [BLOCKS >> k for k in range(1, BLOCKS.bit_length())]
     # binary search: how many cuts are at most the value
     at = lambda n, step: n + F.when(F.element_at("_cuts", n + step) <= value, step).otherwise(0)

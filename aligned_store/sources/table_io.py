@@ -45,6 +45,8 @@ def codec(name: str) -> str:
 
 
 INLINE, FANOUT, FULL = 64, 32, 2048
+#: Rows that show how many bytes one takes; about the bytes of a file's header and footer.
+LEARNT, ENDS = 5_000, 2_000
 #: The name of the lake's own log, of whose commits every so many-th names all tables.
 LAKE, WHOLE = "_lake", 32
 _PUTTING = threading.Lock()
@@ -136,7 +138,7 @@ class TableIO(ABC):
     def write(self, df: DataFrame, target: str, mode: str = "append", stats: Iterable[str] = ()) -> int: ...
 
     @abstractmethod
-    def stage(self, df: DataFrame, stats: Iterable[str] = ()) -> list[dict]: ...
+    def stage(self, df: DataFrame, stats: Iterable[str] = (), like: DataFrame | None = None) -> list[dict]: ...
 
     def range_of(self, files: list[dict], key: str, kind: T.DataType) -> tuple:
         """A range that the staged files' values of a key lie in, as :meth:`scan` takes it; None is no bound."""
@@ -182,6 +184,7 @@ class ParquetTableIO(TableIO):
         self._jvm = spark._jvm
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
         self._newest: dict[str, int] = {}
+        self._bytes_a_row: dict[str, float] = {}
         #: The versions in which tables are seen, by the lake's commit of that number; None: there is none.
         self.view: dict[str, int] | None = None
         self.seen: int | None = None
@@ -413,13 +416,20 @@ class ParquetTableIO(TableIO):
 
     # writing
 
-    def stage(self, df: DataFrame, stats: Iterable[str] = ()) -> list[dict]:
-        """Write a frame's files, without any table listing them yet."""
+    def stage(self, df: DataFrame, stats: Iterable[str] = (), like: DataFrame | None = None) -> list[dict]:
+        """Write a frame's files, without any table listing them yet.
+
+        A file is begun anew where its rows come to the target size, compressed: by the bytes a row that earlier files
+        of such columns took, else the first rows of ``like``, a frame of the same columns that is cheap to begin
+        reading; else by a guess. :meth:`compact` joins small files.
+        """
         rel = f"_data/{uuid.uuid4().hex}"
         path = f"{self.root}/{rel}"
-        # a file is begun anew before its rows, uncompressed, would go beyond the target; compact() joins small ones
-        width = sum(_width(f.dataType) for f in df.schema)
-        df.write.option("compression", self.compression).option("parquet.block.size", self.target_file_size).option("maxRecordsPerFile", max(1, self.target_file_size // width)).parquet(path)
+        kinds = ", ".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+        if kinds not in self._bytes_a_row and like is not None:
+            self._learn(kinds, self.stage(like.limit(LEARNT).coalesce(1), list(stats)[:1]))
+        width = self._bytes_a_row.get(kinds) or sum(_width(f.dataType) for f in df.schema)
+        df.write.option("compression", self.compression).option("parquet.block.size", self.target_file_size).option("maxRecordsPerFile", max(1, int(self.target_file_size / width))).parquet(path)
         p = self._path(path)
         sizes = {x.getPath().getName(): x.getLen() for x in self._fs(p).listStatus(p) if x.getPath().getName().startswith("part-")}
         stats = [k for k in stats if isinstance(df.schema[k].dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))]
@@ -431,7 +441,15 @@ class ParquetTableIO(TableIO):
             known = {r.f: {"rows": r.n, "min": {k: plain(r[f"lo{i}"]) for i, k in enumerate(stats)}, "max": {k: plain(r[f"hi{i}"]) for i, k in enumerate(stats)}} for r in found}
         nothing = {"rows": 0 if stats else None, "min": {}, "max": {}}
         of = len(known) if stats else len(sizes)  # files without rows needn't be listed
-        return [{"path": f"{rel}/{n}", "bytes": size, "of": of, **known.get(n, nothing)} for n, size in sorted(sizes.items())]
+        files = [{"path": f"{rel}/{n}", "bytes": size, "of": of, **known.get(n, nothing)} for n, size in sorted(sizes.items())]
+        if sum(f["rows"] or 0 for f in files) >= LEARNT:
+            self._learn(kinds, files)
+        return files
+
+    def _learn(self, kinds: str, files: list[dict]) -> None:
+        """Remember the bytes that a row of such columns takes; each file's ends are counted off."""
+        if rows := sum(f["rows"] or 0 for f in files):
+            self._bytes_a_row[kinds] = max(1.0, sum(max(0, f["bytes"] - ENDS) for f in files) / rows)
 
     def commit(self, target: str, files: list[dict], schema: T.StructType, op: str, mode: str = "append") -> int:
         """Publish a version that lists ``files``, besides those there (append) or instead of them (overwrite)."""
