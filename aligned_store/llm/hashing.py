@@ -1,8 +1,8 @@
 """Hashed word and character n-gram features of whole texts, computed in numpy over batches.
 
 A text's features are its words (runs without ASCII white space), the 3- and 4-grams of code points within
-words, a word's begin and end counting as one mark each, and its word pairs (told apart only by whether a
-word follows itself). Each is hashed to one of ``2**bits`` buckets. A linear score of the mean feature
+words, a word's begin and end counting as one mark each, for each word whether it follows itself, and with ``pairs``
+each word with the one before it. Each is hashed to one of ``2**bits`` buckets. A linear score of the mean feature
 vector is a mean of one number per bucket, so scoring gathers from a table and sums over each text.
 
 Texts longer than ``WINDOW`` code points pass through in windows, so memory doesn't grow with a text. A
@@ -136,7 +136,7 @@ def _packs(texts: list[bytes]) -> Iterator[tuple[list[int], list[np.ndarray], li
         yield who, some, last
 
 
-def features(texts: list[bytes], bits: int) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+def features(texts: list[bytes], bits: int, pairs: bool = False) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """For each pack: whose its windows are, and for each kind of feature the buckets and the borders of each window in them.
 
     Bucket ``2**bits`` stands for no feature.
@@ -170,12 +170,17 @@ def features(texts: list[bytes], bits: int) -> Iterator[tuple[np.ndarray, list[t
                 spaced[b - len(o.tail) : b] = _SPACE
         word, a, b = _words(spaced, begin, end, shift, opened, ends)
         kinds.append((word, a, b))
-        twice = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
+        before = np.concatenate([[-1], word[:-1]])[: len(word)]
         for k, o in enumerate(opened):
             if b[k] > a[k]:
-                twice[a[k]] = o.before == word[a[k]]
+                before[a[k]] = o.before
                 o.before = int(word[b[k] - 1])
-        kinds.append((np.where(twice, np.intp(1), np.intp(2)), a, b))
+        kinds.append((np.where(before == word, np.intp(1), np.intp(2)), a, b))
+        if pairs:
+            both = (before.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+            with np.errstate(over="ignore"):
+                found = (((both ^ (both >> np.uint64(29))) * _ODD) >> shift).astype(np.intp)
+            kinds.append((np.where(before < 0, none, found), a, b))
         for k, (i, o) in enumerate(zip(who, opened, strict=True)):
             if not last[k]:
                 o.tail = np.concatenate([o.tail, some[k]])[-3:]
@@ -194,12 +199,12 @@ def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def mean_scores(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mean_scores(texts: list[bytes], table: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``table`` (buckets x k) -> for each text the mean row over its features (n x k), and their number."""
     size = len(table)
     columns = [np.append(table[:, k], 0.0) for k in range(table.shape[1])]
     sums, count = np.zeros((len(texts), len(columns))), np.zeros(len(texts), np.int64)
-    for who, kinds in features(texts, int(size).bit_length() - 1):
+    for who, kinds in features(texts, int(size).bit_length() - 1, pairs):
         for buckets, begin, end in kinds:
             real = np.concatenate([[0], np.cumsum(buckets < size)])
             count[who] += real[end] - real[begin]
@@ -208,10 +213,10 @@ def mean_scores(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.n
     return sums / np.maximum(count, 1)[:, None], count
 
 
-def sparse(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def sparse(text: bytes, bits: int, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of one whole text and the share of its features that each holds."""
     total = np.zeros((1 << bits) + 1)
-    for _, kinds in features([text], bits):
+    for _, kinds in features([text], bits, pairs):
         for buckets, begin, end in kinds:
             for b, e in zip(begin, end, strict=True):
                 total += np.bincount(buckets[b:e], minlength=len(total))

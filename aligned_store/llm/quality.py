@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-Hashed word and character n-gram vectors are averaged per document; a softmax over a linear map of
+The vectors of hashed words, word pairs and character n-grams are averaged per document; a softmax over a linear map of
 the average gives the score. Vectors and map are learned together on a bounded sample of labelled
 documents (``per_label`` of each label, ``sample_rows`` in all), each from its whole text; sample weights restore the
 label shares of all labelled rows. As the map is linear, it is folded into one number per bucket for
@@ -37,7 +37,7 @@ class QualityModel:
     bias: float
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        mean, _ = mean_scores(texts, self.table[:, None])
+        mean, _ = mean_scores(texts, self.table[:, None], pairs=True)
         return 1 / (1 + np.exp(-np.clip(mean[:, 0] + self.bias, -40, 40)))
 
 
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a hash share of each label; an id whose labels are repeated without end is one row in it
     some = cut(some.select("id", "y").distinct(), "labels")
     texts = small_join(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")), some, ["id"], "inner")
-    return train(collect_features(texts, "y", "t", "id", bits, sample_rows), counts, bits)
+    return train(collect_features(texts, "y", "t", "id", bits, sample_rows, pairs=True), counts, bits)
 
 
 def with_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -27,14 +27,14 @@ def balanced(rows: DataFrame, label: str, key: str, per_label: int, labels: int
     return rows.where(spread < F.element_at(share, F.col(label))), counts
 
 
-def collect_features(rows: DataFrame, label: str, text: str, key: str, bits: int, most: int) -> list[tuple[object, np.ndarray, np.ndarray]]:
+def collect_features(rows: DataFrame, label: str, text: str, key: str, bits: int, most: int, pairs: bool = False) -> list[tuple[object, np.ndarray, np.ndarray]]:
     """(label, buckets, shares) of ``most`` rows at most, in a fixed order; the texts stay on the executors."""
     kind = rows.schema[label].dataType
     schema = T.StructType([T.StructField("o", T.LongType()), T.StructField("y", kind), T.StructField("b", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sparse(t, bits) for t in utf8(batch.column(2))]
+            found = [sparse(t, bits, pairs) for t in utf8(batch.column(2))]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["o", "y", "b", "v"])
 
         return step

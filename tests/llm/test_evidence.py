@@ -26,7 +26,7 @@ def frame(spark, rows, schema="doc_id long, text string"):
 # features
 
 
-def slow_features(text, bits):
+def slow_features(text, bits, pairs=False):
     """Bucket -> number of features, one code point after the other."""
     points = [32 if 9 <= ord(c) <= 13 else ord(c) for c in text]
     bucket = lambda h: (((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) & M) >> (64 - bits)
@@ -50,24 +50,27 @@ def slow_features(text, bits):
             b = bucket(sum((ord(c) + 1) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(word)) & M)
             add(b)
             add(1 if b == before else 2)
+            if pairs and before is not None:
+                add(bucket(before << 32 | b))
             before = b
     return out
 
 
+@pytest.mark.parametrize("pairs", [False, True])
 @pytest.mark.parametrize("window", [1, 2, 7, 16, 50, 1 << 18])
-def test_features_have_no_borders(monkeypatch, window):
+def test_features_have_no_borders(monkeypatch, window, pairs):
     monkeypatch.setattr(hashing, "WINDOW", window)
     rng = random.Random(window)
     texts = [*ODD, *("".join(rng.choice("ab é ñ日 \n😀") for _ in range(n)) for n in (window - 1, window, window + 1, 2 * window, 3 * window + 1, 40) if n < 200), "x" * 60, "y " + "x" * 60 + " x"]
     for text in texts:
-        at, share = hashing.sparse(text.encode(), 9)
-        want = slow_features(text, 9)
+        at, share = hashing.sparse(text.encode(), 9, pairs)
+        want = slow_features(text, 9, pairs)
         assert dict(zip(at.tolist(), (share * max(1, sum(want.values()))).round(6).tolist(), strict=True)) == want
     table = np.random.default_rng(1).normal(size=(512, 2))
-    together, n = hashing.mean_scores([t.encode() for t in texts] * 2, table)
+    together, n = hashing.mean_scores([t.encode() for t in texts] * 2, table, pairs)
     for k, text in enumerate(texts):
-        alone, m = hashing.mean_scores([text.encode()], table)
-        want = slow_features(text, 9)
+        alone, m = hashing.mean_scores([text.encode()], table, pairs)
+        want = slow_features(text, 9, pairs)
         assert m[0] == n[k] == sum(want.values())
         # the same to the last bit, whatever else is in the batch
         assert (alone[0] == together[k]).all() and (alone[0] == together[k + len(texts)]).all()
@@ -80,7 +83,7 @@ def test_features_have_no_borders(monkeypatch, window):
 def test_quality_gradients_and_folding():
     rng = np.random.default_rng(5)
     net = quality.Network(rng.normal(size=(64, 3)), rng.random(64) + 0.5, rng.normal(size=(3, 2)), rng.normal(size=2))
-    some = [hashing.sparse(t.encode(), 6) for t in ("one text", "and another one", "third, third")]
+    some = [hashing.sparse(t.encode(), 6, True) for t in ("one text", "and another one", "third, third")]
     y, w = np.array([0, 1, 1]), np.array([1.0, 0.5, 2.0])
 
     def loss():
@@ -99,7 +102,7 @@ def test_quality_gradients_and_folding():
             assert abs((up - down) / 2e-5 - g.reshape(-1)[i]) < 1e-6
     # scoring by one number for each bucket is the softmax of the mapped mean vector
     for text in ("one text", "something else", "é ü"):
-        found = slow_features(text, 6)
+        found = slow_features(text, 6, pairs=True)
         mean = sum(net.vectors[b] * net.scale[b] * k for b, k in found.items()) / sum(found.values()) / 16
         logits = mean @ net.out + net.bias
         assert np.allclose(net.folded().score([text.encode()])[0], np.exp(logits[1]) / np.exp(logits).sum())
