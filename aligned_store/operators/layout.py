@@ -19,7 +19,8 @@ def z_order(df: DataFrame, columns: list[str]) -> Column:
     parts = []
     for i, c in enumerate(columns):
         seen = sorted(r[c] for r in sample if r[c] is not None)
-        cuts = sorted({seen[len(seen) * k >> BITS] for k in range(1, 1 << BITS)}) if seen else []
+        # cuts that are equal stay: places of few values are as far apart as those of many
+        cuts = [seen[len(seen) * k >> BITS] for k in range(1, 1 << BITS)] if seen else []
         kind = df.schema[c].dataType
         place = at_most(F.array(*[F.lit(x).cast(kind) for x in cuts]), F.col(f"`{c}`")) if cuts else F.lit(0)
         parts += [F.shiftleft(F.shiftright(place, b).bitwiseAND(1).cast("long"), b * len(columns) + len(columns) - 1 - i) for b in range(BITS)]

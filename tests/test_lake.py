@@ -523,7 +523,7 @@ def test_keys_are_deduplicated_in_the_range_exchange(spark, lake):
 
 
 def test_reads_of_a_secondary_key_open_few_files(spark, tmp_path):
-    lake = FeatureLake(spark, f"file://{tmp_path}/z", target_file_size=16 << 10).initialize()
+    lake = FeatureLake(spark, f"file://{tmp_path}/z", target_file_size=8 << 10).initialize()
     rng = random.Random(4)
     rows = [(i % 365, f"s{i % 64:02d}", rng.random()) for i in range(12_000)]
     want = {(i, s): x for i, s, x in reversed(rows)}
@@ -663,9 +663,9 @@ def test_as_of_of_text_keys_in_blocks(spark, strategy):
 def test_files_come_to_the_target_size_compressed(spark, tmp_path, kind):
     target = 96 << 10
     lake = FeatureLake(spark, f"file://{tmp_path}/s", target_file_size=target).initialize()
-    value = {"doubles": ", ".join(f"rand({k}) AS d{k}" for k in range(12)), "texts": "array_join(transform(sequence(1, 30), i -> sha2(cast(id * 31 + i AS STRING), 256)), ' ') AS t", "arrays": "transform(sequence(1, 40), i -> rand(5)) AS a"}[kind]
+    value = {"doubles": [f"rand({k}) AS d{k}" for k in range(12)], "texts": ["array_join(transform(sequence(1, 30), i -> sha2(cast(id * 31 + i AS STRING), 256)), ' ') AS t"], "arrays": ["transform(sequence(1, 40), i -> rand(5)) AS a"]}[kind]
     rows = 12_000 if kind == "doubles" else 1_500 if kind == "texts" else 5_000
-    df = spark.range(0, rows, 1, 1).selectExpr("timestamp_seconds(1704067200 + id) AS timestamp", "'s' AS symbol", value)
+    df = spark.range(0, rows, 1, 1).selectExpr("timestamp_seconds(1704067200 + id) AS timestamp", "'s' AS symbol", *value)
     lake.add_features(df)
     addr = lake.feature_metadata_frame().first().table_addr
     sizes = sorted(f["bytes"] for f in lake.io.files(addr, lake.io.snapshot(addr)))
