@@ -1,7 +1,9 @@
 """Token counts with a digest cache, and the encoders behind it.
 
 :func:`token_counts` joins digests of normalised content and the tokenizer's version to a table of
-stored counts; only distinct texts that the table lacks are encoded, and their counts are appended.
+stored counts; only distinct texts that the table lacks are encoded, and their counts are appended. Digests alone
+are shuffled: of each that is missing one row's place is marked, and its text is encoded where it is stored
+(:mod:`.places`), whether few are missing or all.
 
 Encoding byte-level BPE files: the distinct stretches between white space of plain Latin text are encoded
 once for each pack of texts and kept in a bounded table in each worker; any text with another
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import local_frame
-from .common import cut, held, lookup, map_batches, scratch, small_join
+from .common import cut, held, lookup, map_batches, scratch
 from .hashing import powers
+from .places import in_place, marks, place, placed
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters whose classes all versions of Unicode agree on; the pattern is the usual one of byte-level BPE.
@@ -234,8 +236,6 @@ def version(path: str) -> str:
 COUNTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: The cache is a Parquet table with a folder for each version, so another version's counts aren't read.
 CACHE = T.StructType([*COUNTS.fields, T.StructField("version", T.StringType())])
-#: Up to so many misses are sent to the texts.
-FEW_MISSES = 20_000
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, cache_path: str | None = None, normalise: Callable = lambda text: text) -> DataFrame:
@@ -247,19 +247,18 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     cache_path = cache_path or scratch(spark, "token-cache")
     stamp = version(path)
-    text = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
-    digest = F.unhex(F.sha2(F.col("text"), 256)).alias("digest")
-    # where a digest is found first, of ids of any type, null or not
-    place = F.xxhash64("doc_id").alias("place")
-    keyed = cut(whole.select("doc_id", "n_bytes", digest, place), "digests")
+    whole = placed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
+    text = normalise(F.coalesce(F.col("text"), F.lit("")))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
+    file, row = place(whole)
+    keyed = cut(whole.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), digest, file.alias("file"), row.alias("row")), "digests")
     jvm, hadoop = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     there = jvm.org.apache.hadoop.fs.Path(cache_path)
-    known = _stored(spark, cache_path, stamp) if there.getFileSystem(hadoop).exists(there) else local_frame(spark, [], COUNTS)
-    first = keyed.groupBy("digest").agg(F.min("place").alias("place"))
-    misses = cut(first.join(known.select("digest"), "digest", "left_anti"), "misses")
-    # texts stay where they are while the misses are few, as with a warm cache; else they meet them in one shuffle
-    found = small_join(whole.select("text", digest, place), misses, ["digest", "place"], "left_semi", FEW_MISSES)
+    first = keyed.groupBy("digest").agg(F.min(F.struct("file", "row")).alias("at"))
+    if there.getFileSystem(hadoop).exists(there):
+        # both sides are dealt by digest already; merged, so that the planner sends neither to all tasks
+        first = first.join(_stored(spark, cache_path, stamp).select("digest").hint("merge"), "digest", "left_anti")
+    misses = marks(first.select("at.file", "at.row"))
 
     def make():
         own = encoder(path)
@@ -269,10 +268,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         return step
 
-    encoded = map_batches(found.select("text", "digest"), make, COUNTS)
-    # rows repeated under one id are encoded once each, and stored once
-    encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(cache_path)
-    counts = lookup(keyed, _stored(spark, cache_path, stamp), ["digest"], "inner")
+    # texts are encoded where they stand: one row of each digest that the cache lacks is marked
+    for part in in_place(whole, misses, keep=True):
+        encoded = map_batches(part.select(text.alias("text"), digest), make, COUNTS)
+        encoded.withColumn("version", F.lit(stamp)).write.mode("append").partitionBy("version").parquet(cache_path)
+    counts = lookup(keyed.drop("file", "row"), _stored(spark, cache_path, stamp), ["digest"], "inner")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
