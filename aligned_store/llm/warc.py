@@ -1,8 +1,10 @@
 r"""WARC archives with revisit resolution.
 
-Headers alone (page id and digest) are shuffled by payload digest; the record with the smallest page id of each
-digest is the response, the others are joined to it as revisits. The archives are then written with fresh
-headers, a revisit without its payload, and read back by a streaming reader.
+Headers alone (page id, url, length and digest) are shuffled by payload digest; the record with the smallest page id
+of each digest is the response, the others are joined to it as revisits. The archives are then written with fresh
+headers and read back by a streaming reader. A revisit has no payload, so its record is written from its header;
+the responses' are written where their pages are stored, from which the revisits' places are left out
+(:mod:`.places`).
 
 Records go through Spark's own writer and reader of lines, of which the end is WARC's record end, so archives may
 live wherever Spark writes, only files of committed tasks count, and a lost executor costs its tasks. A reading
@@ -15,8 +17,8 @@ any type that has an order; those that aren't numbers are percent-encoded in hea
 header; control characters in a url are percent-encoded. Extra columns are ignored. An empty table writes no
 records. Payloads of any length are one record each.
 
-Scale: the digests that occur more than once meet the payloads by a broadcast while they are few (counted); beyond
-that payloads are shuffled once by digest, those of hot digests excepted (:func:`lookup`).
+Scale: no payload is shuffled, however many digests repeat. An archive of responses holds ``max_records`` at most, and
+never more than the pages of one scan task, which ``spark.sql.files.maxPartitionBytes`` bounds.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, lean_batches, lookup, scratch
+from .places import in_place, marks, place, placed
 
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -44,13 +47,27 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to of revisits only."""
-    payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
-    headers = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    again = cut(headers, "revisits")
-    return lookup(rows, again, ["payload_digest"]).select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
+def resolve(pages: DataFrame, **kw) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of every page; a revisit's payload is null."""
+    responses, revisits = split(pages, **kw)
+    for part in responses:
+        revisits = revisits.unionByName(part)
+    return revisits
+
+
+def split(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> tuple[list[DataFrame], DataFrame]:
+    """The rows of :func:`resolve`: responses, a frame for each block of files, and revisits."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    rows = placed(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "pages")
+    of = [F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest")]
+    file, row = place(rows)
+    headers = cut(rows.select("page_id", "url", *of, file.alias("file"), row.alias("row")), "headers")
+    again = cut(headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first"), "repeated")
+    other = F.coalesce(F.col("page_id") != F.col("first"), F.lit(True))
+    revisits = cut(lookup(headers, again, ["payload_digest"], "inner").where(other).withColumnRenamed("first", "refers_to"), "revisits")
+    nobody = F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to")
+    responses = [part.select("page_id", "url", payload.alias("payload"), *of, nobody) for part in in_place(rows, marks(revisits.select("file", "row")), keep=False)]
+    return responses, revisits.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "payload_bytes", "payload_digest", "refers_to")
 
 
 def _record(date: str) -> Column:
@@ -74,7 +91,9 @@ def _record(date: str) -> Column:
 
 def write_archives(pages: DataFrame, path: str, date: str = DATE, max_records: int = 5000, **kw) -> None:
     """Write a record for each page to gzipped archives under ``path``, of ``max_records`` at most each."""
-    resolve(pages, **kw).select(_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+    responses, revisits = split(pages, **kw)
+    for k, part in enumerate([*responses, revisits]):
+        part.select(_record(date).alias("value")).write.mode("append" if k else "error").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
