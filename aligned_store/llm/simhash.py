@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FEW_ROWS, cut, fresh, lookup, map_batches, small_join, utf8, with_columns
+from .common import FEW_ROWS, cut, lookup, map_batches, small_join, utf8, with_columns
 from .graph import ball, components
+from .places import as_one, in_place, marks, place, placed
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints in a grid cell up to which they are compared in pairs.
@@ -194,13 +195,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **kw) -> DataFrame:
     """``docs`` with one row of each component, of those with its smallest id any one; columns unchanged.
 
-    Rows of null ids stay where a component has no other. Ids may be of any type that has an order. Rows are
-    numbered when they are written with their fingerprints, so rows that are equal in everything are told apart.
+    Rows of null ids stay where a component has no other. Ids may be of any type that has an order. Rows are told
+    apart by where they are stored, so those that are equal in everything are too; what goes is marked there,
+    and the rest is read where it is (:mod:`.places`): no text is shuffled.
     """
-    print_, row = fresh(docs.columns, "near_fp"), fresh(docs.columns, "near_row")
-    rows = cut(_with_fingerprint(docs, print_, text_col, **kw).withColumn(row, F.monotonically_increasing_id()), "rows")
-    first = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
-    prints = cut(rows.groupBy(F.col(print_).alias("fp")).agg(F.min(first).alias("first")), "distinct")
-    stay = _rooted(prints, "first", radius).select(F.col("best.row").alias(row)).distinct()
-    gone = cut(rows.select(row).join(stay.hint("merge"), row, "left_anti"), "gone")
-    return small_join(rows, gone, [row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = placed(docs, "rows")
+    file, row = place(rows)
+    narrow = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), file.alias("file"), row.alias("row"))
+    members = cut(_with_fingerprint(narrow, "fp", "text", **kw).drop("text"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "file", "row")
+    prints = cut(members.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    stay = _rooted(prints, "first", radius).select("best.file", "best.row").distinct()
+    gone = cut(members.select("file", "row").join(stay.hint("merge"), ["file", "row"], "left_anti"), "gone")
+    return as_one(in_place(rows, marks(gone), keep=False), "kept")
