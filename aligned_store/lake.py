@@ -19,6 +19,7 @@ from .functions.transforms import transform_exprs
 from .operators.deltas import Deltas, index_deltas, preprocess, replaced, upserted, without_empty
 from .operators.reading import align, between, gather, quote
 from .plans.catalog import by_table, last_updated, latest_per_feature, named
+from .plans.tracing import traced
 from .plans.transactions import again, atomically, transaction
 from .sources.shared import literal, local_frame, spark_frame, spark_schema, wider
 from .sources.table_io import ParquetTableIO, TableIO, codec
@@ -82,6 +83,7 @@ class FeatureLake(BaseFeatureLake):
             raise ValueError(f"the primary sort key {self.primary!r} is not among {schema.fieldNames()}")
         self.keys, self.index_schema = schema.fieldNames(), schema
 
+    @traced
     def initialize(self, schema: T.StructType = S.DEFAULT_INDEX) -> FeatureLake:
         """Create the system tables that are missing. An existing index must have the same schema.
 
@@ -148,19 +150,24 @@ class FeatureLake(BaseFeatureLake):
 
     # writing
 
+    @traced
     def add_features(self, df, owner="missing_owner", metadata=None, overlap_mode="copy"):
         self._add(df, S.FEATURE, owner, metadata, None, overlap_mode)
 
+    @traced
     def add_targets(self, df, owner="missing_owner", metadata=None, overlap_mode="copy"):
         self._add(df, S.TARGET, owner, metadata, None, overlap_mode)
 
+    @traced
     def add_as_of_features(self, df, params, owner="missing_owner", metadata=None, overlap_mode="copy"):
         """Observations that index rows match by ``params``: strategy, tolerance, allow_exact_matches."""
         self._add(df, S.AS_OF, owner, metadata, params, overlap_mode)
 
+    @traced
     def add_sparse_features(self, df, owner="missing_owner", metadata=None, overlap_mode="copy"):
         self._add(df, S.SPARSE, owner, metadata, None, overlap_mode)
 
+    @traced
     def add_index_rows(self, df: DataFrame) -> None:
         """Extend the index by keys; every group reads as null there."""
         self.ensure_initialized()
@@ -338,6 +345,7 @@ class FeatureLake(BaseFeatureLake):
             if rows:
                 self.io.write(local_frame(self.spark, rows, schema), touched(target))
 
+    @traced
     def compact(self, features: list[str] | None = None, by: list[str] | None = None) -> dict[str, int]:
         """Join the small files of system tables, and of the tables of features (all if none are named).
 
@@ -362,6 +370,7 @@ class FeatureLake(BaseFeatureLake):
 
         return atomically(self.io, body) | again(lambda: self.io.compact([self.transaction_log]))
 
+    @traced
     def consolidate_feature_groups(self, features: list[str]) -> str | None:
         """Bring dense features of several tables into one; its address, or None if they are in one already."""
         self.ensure_initialized()
@@ -390,6 +399,7 @@ class FeatureLake(BaseFeatureLake):
         if not self.enable_runtime_computed_features:
             raise ValueError("runtime-computed features are not enabled: pass enable_runtime_computed_features=True")
 
+    @traced
     def add_runtime_computed_features(self, exprs: dict[str, str], owner: str = "missing_owner") -> None:
         """Register outputs as SQL over features; sort keys may be used too, as in OVER (ORDER BY ...)."""
         self.ensure_initialized()
@@ -411,6 +421,7 @@ class FeatureLake(BaseFeatureLake):
 
         transaction(self, owner, S.RUNTIME, body)
 
+    @traced
     def add_runtime_transforms(self, features: list[str], transforms: list[str], owner: str = "missing_owner") -> None:
         """Register ``<feature>__<transform>`` for all pairs."""
         exprs = transform_exprs(features, transforms)
@@ -421,6 +432,7 @@ class FeatureLake(BaseFeatureLake):
 
     # reading
 
+    @traced
     def read(self, features, targets: list[str] | None = None, start=None, end=None, materialized: bool = True, strict: bool = False, modifier: FrameModifier = no_op_modifier, where: dict[str, list] | None = None) -> DataFrame:
         """Features as one wide frame, keyed by the index in [start, end] and sorted by its keys.
 
@@ -545,6 +557,7 @@ class FeatureLake(BaseFeatureLake):
 
     # annotations and history
 
+    @traced
     def annotate(self, annotations: DataFrame) -> None:
         """Store comment and tags of features with their tables; of several rows for one, the newest version's."""
         self.ensure_initialized()
@@ -575,6 +588,7 @@ class FeatureLake(BaseFeatureLake):
         full = [(*[r[f] for f in S.FEATURE_METADATA.fieldNames()], n["comment"], n["tags"]) for r in rows for n in [notes.get(r.table_addr, {}).get(r.feature_name, none)]]
         return local_frame(self.spark, full, S.ANNOTATIONS)
 
+    @traced
     def restore_to_timestamp(self, timestamp: dt.datetime) -> None:
         """Bring index, metadata and the tables that the metadata then names back to a time; the log is kept."""
         self.ensure_initialized()

@@ -671,3 +671,27 @@ def test_files_come_to_the_target_size_compressed(spark, tmp_path, kind):
     sizes = sorted(f["bytes"] for f in lake.io.files(addr, lake.io.snapshot(addr)))
     whole = [s for s in sizes if s > 0.5 * target]  # a task's last file may be smaller
     assert len(whole) >= 5 and len(sizes) - len(whole) <= 4 and sizes[-1] < 1.5 * target
+
+
+def test_jobs_are_described(spark, lake):
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def told(since):
+        jobs = [store.jobsList(None).apply(i) for i in range(store.jobsList(None).size())]
+        return {j.description().get() if j.description().isDefined() else None for j in jobs if j.jobId() > since}
+
+    last = lambda: max((store.jobsList(None).apply(i).jobId() for i in range(store.jobsList(None).size())), default=-1)
+    since = last()
+    lake.add_features(frame(spark, [(0, "a", 1)], x=L))
+    assert told(since) == {f"add_features on {lake.base_path}"}
+    sc.setLocalProperty("spark.job.description", "nightly")
+    try:
+        since = last()
+        lake.add_features(frame(spark, [(1, "a", 2)], x=L))
+        assert told(since) == {f"nightly > add_features on {lake.base_path}"}
+        with pytest.raises(S.MissingFeaturesException):
+            lake.read(["unknown"])
+        assert sc.getLocalProperty("spark.job.description") == "nightly"
+    finally:
+        sc.setLocalProperty("spark.job.description", None)
