@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -104,6 +105,21 @@ def spark_frame(spark: SparkSession, df) -> DataFrame:
     raise TypeError(f"a DataFrame, an Arrow table or a pandas frame is wanted, not {type(df).__name__}")
 
 
+def arrow_frame(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.Table | pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """A DataFrame of the Arrow tables or record batches that tasks make of a frame's; none passes through the driver.
+
+    They have the columns of ``schema``, in any order and in types that Arrow casts to these without loss.
+    """
+    kind = to_arrow_schema(schema)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in make(batches):
+            table = pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x
+            yield from table.select(kind.names).cast(kind).to_batches()
+
+    return df.mapInArrow(made, schema)
+
+
 def wider(spark: SparkSession, name: str, a: T.DataType, b: T.DataType) -> T.DataType:
     """The type that holds values of both, as a union of them has it; text and other kinds don't mix."""
     if isinstance(a, T.StringType) != isinstance(b, T.StringType):

@@ -386,6 +386,37 @@ def test_arrow_and_pandas_input(spark, tmp_path):
     assert lake.read(["x"], modifier=lambda df: df.where("x = 2")).count() == 1
 
 
+def test_arrow_tables_that_tasks_make(spark, lake):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from aligned_store.sources.shared import arrow_frame
+
+    def make(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            when = t["timestamp"].cast(pa.timestamp("ns", "UTC"))
+            yield pa.table({"x": pc.cast(t["x"], pa.int32()), "symbol": t["symbol"], "more": t["x"], "timestamp": when})
+            yield b.slice(0, 0)
+
+    df = frame(spark, [(i, s, i if i % 7 else None) for i in range(200) for s in "ab"], x=L).repartition(5)
+    lake.add_features(arrow_frame(df, make, df.schema))
+    assert values(lake.read(["x"]), "x") == {(i, s): i if i % 7 else None for i in range(200) for s in "ab"}
+
+
+def test_the_arrow_query_uploads_all_events_past_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from aligned_store.queries import oracle_sql, q33_arrow_upload
+
+    assert oracle_sql()["q33_arrow_upload"] == "SELECT ts, user_id, value FROM events"
+    rows = [(dt.datetime(2024, 1, 1, k % 24, microsecond=k), k, "click", None if k % 9 == 0 else k / 4) for k in range(500)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("all rows come to the driver"))
+    got = q33_arrow_upload(spark, f"file://{tmp_path}").collect()
+    assert {(r.ts, r.user_id, r.value) for r in got} == {(t, u, v) for t, u, _, v in rows} and len(got) == len(rows)
+
+
 def paths(lake, target):
     return {f["path"] for f in lake.io.files(target, lake.io.snapshot(target))}
 
